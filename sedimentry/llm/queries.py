@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import lengths, licenses, mixing, quality, tokenbin
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +16,31 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_pareto_mix": op1_pareto_mix}
-ORACLES = {"op1_pareto_mix": mixing.ORACLE}
+def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every document."""
+    return quality.report(documents(spark, sf_dir))
+
+
+def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, quantiles and truncated totals at every distinct token length of the documents."""
+    return lengths.token_counts(documents(spark, sf_dir))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license templates in every document."""
+    return licenses.license_scan(documents(spark, sf_dir)).drop("spans")
+
+
+def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written as Huffman-coded files and read back."""
+    return tokenbin.round_trip(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_pareto_mix": op1_pareto_mix,
+    "op2_license_scan": op2_license_scan,
+    "op4_quality_cascade": op4_quality_cascade,
+    "op7_huffman_ids": op7_huffman_ids,
+    "op9_length_histogram": op9_length_histogram,
+}
+ORACLES = {"op1_pareto_mix": mixing.ORACLE, "op4_quality_cascade": quality.ORACLE}

@@ -134,7 +134,7 @@ def by_bucket(packed: DataFrame, tasks: int, fn, dtype: np.dtype, schema: str) -
 
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a plan's size, from file sizes: what bucket counts grow with."""
-    return max(1, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())))
+    return max(1, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
 
 
 def tasks_for(spark: SparkSession) -> int:
