@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lengths, licenses, mixing, quality, tokenbin
+from . import lengths, licenses, mixing, quality, substrings, suffixes, tokenbin
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +16,21 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document left after substring dedup."""
+    return substrings.report(documents(spark, sf_dir))
+
+
 def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of every document."""
     return quality.report(documents(spark, sf_dir))
 
 
+def op8_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document left after suffix-array dedup."""
+    return suffixes.report(documents(spark, sf_dir))
+
+
 def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, quantiles and truncated totals at every distinct token length of the documents."""
     return lengths.token_counts(documents(spark, sf_dir))
@@ -39,8 +49,10 @@ def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_license_scan": op2_license_scan,
+    "op3_suffix_trees": op3_suffix_trees,
     "op4_quality_cascade": op4_quality_cascade,
     "op7_huffman_ids": op7_huffman_ids,
+    "op8_suffix_merge": op8_suffix_merge,
     "op9_length_histogram": op9_length_histogram,
 }
 ORACLES = {"op1_pareto_mix": mixing.ORACLE, "op4_quality_cascade": quality.ORACLE}
