@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lengths, licenses, mixing, quality, substrings, suffixes, tokenbin
+from . import jaccard, lengths, licenses, mixing, quality, substrings, suffixes, tokenbin
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir)).drop("spans")
 
 
+def op5_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets reach Jaccard 0.8."""
+    return jaccard.similarity_components(documents(spark, sf_dir))
+
+
 def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as Huffman-coded files and read back."""
     return tokenbin.round_trip(documents(spark, sf_dir))
@@ -51,6 +56,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_suffix_trees": op3_suffix_trees,
     "op4_quality_cascade": op4_quality_cascade,
+    "op5_partition_join": op5_partition_join,
     "op7_huffman_ids": op7_huffman_ids,
     "op8_suffix_merge": op8_suffix_merge,
     "op9_length_histogram": op9_length_histogram,
