@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, lengths, licenses, mixing, quality, substrings, suffixes, tokenbin
+from . import decontam, jaccard, lengths, licenses, mixing, quality, substrings, suffixes, tokenbin
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(documents(spark, sf_dir))
 
 
+def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in the documents, as asked or with other numbers, names and units."""
+    return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_license_scan": op2_license_scan,
@@ -60,5 +65,6 @@ QUERIES = {
     "op7_huffman_ids": op7_huffman_ids,
     "op8_suffix_merge": op8_suffix_merge,
     "op9_length_histogram": op9_length_histogram,
+    "op10_template_leaks": op10_template_leaks,
 }
 ORACLES = {"op1_pareto_mix": mixing.ORACLE, "op4_quality_cascade": quality.ORACLE}
