@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, lengths, licenses, mixing, quality, substrings, suffixes, tokenbin
+from . import decontam, jaccard, lengths, licenses, mixing, pii, quality, substrings, suffixes, tokenbin
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op5_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_components(documents(spark, sf_dir))
 
 
+def op6_lstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find_personal_data(documents(spark, sf_dir))
+
+
 def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as Huffman-coded files and read back."""
     return tokenbin.round_trip(documents(spark, sf_dir))
@@ -62,6 +67,7 @@ QUERIES = {
     "op3_suffix_trees": op3_suffix_trees,
     "op4_quality_cascade": op4_quality_cascade,
     "op5_partition_join": op5_partition_join,
+    "op6_lstm_crf": op6_lstm_crf,
     "op7_huffman_ids": op7_huffman_ids,
     "op8_suffix_merge": op8_suffix_merge,
     "op9_length_histogram": op9_length_histogram,
