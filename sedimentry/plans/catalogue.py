@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import insight, matching, quality
+
+QUERIES: dict = {**matching.QUERIES, **quality.QUERIES, **insight.QUERIES}
+ORACLES: dict = {**matching.ORACLES, **quality.ORACLES, **insight.ORACLES}
