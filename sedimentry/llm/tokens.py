@@ -1,10 +1,10 @@
-"""Encoding whole texts with a public byte-level BPE of the tokenizers library, one piece at a time.
+"""Encoding whole texts with a public byte-level BPE of the tokenizers library, one stretch at a time.
 
 A byte-level BPE cuts a text into pieces before it merges, and no merge crosses a piece. Texts are cut at places that are
-always piece boundaries (before a space that follows a visible character and precedes one; around a single line feed
-between visible characters), and the library encodes each distinct stretch once per worker. The result equals encoding
-the whole text; texts where a cut could be doubtful (other white space, runs of it, the special token) go to the library
-whole. The cache is bounded: when full it is emptied, which costs time only.
+always piece boundaries: before a space, around a line feed, and before a full stop or comma that follows a letter or
+digit. The library encodes each distinct stretch once per worker, so the result equals encoding the whole text. Texts in
+which a cut could be doubtful (runs of three spaces or line feeds, two at the end, other white space, the special token)
+go to the library whole. The cache is bounded and forgets what the last stretches didn't use, which costs time only.
 """
 
 from __future__ import annotations
@@ -14,10 +14,13 @@ from functools import lru_cache
 
 import numpy as np
 
-#: White space, or characters that some definition calls so, other than a single space or line feed.
-_DOUBTFUL = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]|[ \n][ \n]|^[ \n]|[ \n]$|<\\|")
-_TAIL = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]{2,})([.,;:!?#%&*$|]+)")
-CACHED = 500_000
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+#: White space, or characters that some definition calls so, other than a space or line feed; and the cut mark.
+_ODD = re.compile("[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff]")
+_RUN = re.compile(r"[ \n]{3}|[ \n]{2}\Z")
+_LOOSE_STOP = re.compile(f"(?:^|[^0-9{_LETTERS}])[.,]")
+_PLAIN = re.compile(f" ?[{_LETTERS}]+")
+CACHED = 700_000
 
 
 def default_path() -> str:
@@ -35,8 +38,12 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype(f"<u{width}")
         self.cached = cached
-        self.cache: dict[str, bytes] = {}
-        self.line_feed = self._encode("\n")
+        self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(visible)]
+        #: The characters by which byte-level vocabularies name bytes.
+        self.names = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
     @property
     def size(self) -> int:
@@ -45,59 +52,59 @@ class PieceEncoder:
     def _encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, missing: list[str]) -> None:
-        """Encode stretches that aren't cached yet; trailing punctuation is a piece of its own, so stems are shared."""
+    def _learn(self, missing: dict[str, None]) -> None:
+        """Cache stretches: letters alone are one piece, which the model merges; the rest passes the whole library."""
         if len(self.cache) + len(missing) > self.cached:
-            self.cache.clear()
-        cache, width = self.cache, self.dtype.itemsize
-        stems, tails, rest = {}, {}, []
+            self.older, self.cache = self.cache, {"": b""}
+        cache, older, names, width = self.cache, self.older, self.names, self.dtype.itemsize
+        merge, plain, rest = self.library.model.tokenize, _PLAIN.fullmatch, []
         for x in missing:
-            lead = x[:1] == " "
-            m = _TAIL.fullmatch(x, 1 if lead else 0)
-            if m:
-                stem = " " + m[1] if lead else m[1]
-                stems.setdefault(stem, []).append((x, m[2]))
-                tails[m[2]] = None
+            known = older.get(x)
+            if known is not None:
+                cache[x] = known
+            elif plain(x):
+                cache[x] = b"".join([t.id.to_bytes(width, "little") for t in merge(x.encode().decode("latin-1").translate(names))])
             else:
                 rest.append(x)
-        new = [x for x in dict.fromkeys([*rest, *stems, *tails]) if x not in cache]
-        for a in range(0, len(new), 2000):
-            for x, e in zip(new[a : a + 2000], self.library.encode_batch_fast(new[a : a + 2000], add_special_tokens=False), strict=True):
-                cache[x] = np.array(e.ids, self.dtype).tobytes()
-        for stem, forms in stems.items():
-            for x, tail in forms:
-                cache[x] = cache[stem] + cache[tail]
-        assert width in (2, 4)
+        for x, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            cache[x] = np.array(e.ids, self.dtype).tobytes()
+
+    @staticmethod
+    def _cut(text: str) -> list[str] | None:
+        if _ODD.search(text) or "<|" in text:
+            return None
+        if ("  " in text or "\n\n" in text or " \n" in text or "\n " in text) and _RUN.search(text):
+            return None
+        if not _LOOSE_STOP.search(text):
+            text = text.replace(".", "\0.").replace(",", "\0,")
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[list[str]] | None] = []
-        missing: dict[str, None] = {}
-        cache = self.cache
-        for text in texts:
-            if not text or _DOUBTFUL.search(text):
-                cut.append(None)
-                continue
-            lines = [line.replace(" ", "\n ").split("\n") for line in text.split("\n")]
-            cut.append(lines)
-            for line in lines:
-                for x in line:
-                    if x not in cache:
-                        missing[x] = None
-            if len(missing) > 100_000:
-                break
-        if missing:
-            self._learn(list(missing))
-        out, done = [], len(cut)
-        get = self.cache.__getitem__
-        for text, lines in zip(texts, cut):
-            if lines is None:
-                out.append(self._encode(text) if text else b"")
-            else:
-                try:
-                    out.append(self.line_feed.join([b"".join(map(get, line)) for line in lines]))
-                except KeyError:  # emptied meanwhile
-                    out.append(self._encode(text))
-        return out + (self.encode(texts[done:]) if done < len(texts) else [])
+        out: list[bytes] = []
+        done = 0
+        while done < len(texts):
+            cut, missing, cache = [], {}, self.cache
+            for text in texts[done:]:
+                parts = self._cut(text)
+                cut.append(parts)
+                if parts is not None:
+                    for x in parts:
+                        if x not in cache:
+                            missing[x] = None
+                    if len(missing) > 50_000:
+                        break
+            before = self.cache
+            if missing:
+                self._learn(missing)
+            get = self.cache.__getitem__
+            if self.cache is not before:  # a new generation: stretches known before are found in the older one
+                for parts in cut:
+                    self._learn({x: None for x in parts or () if x not in self.cache})
+                get = self.cache.__getitem__
+            for text, parts in zip(texts[done:], cut, strict=False):
+                out.append(self._encode(text) if parts is None else b"".join(map(get, parts)))
+            done += len(cut)
+        return out
 
 
 @lru_cache(maxsize=2)
