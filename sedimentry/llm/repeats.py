@@ -148,7 +148,8 @@ def anchors(seq, plan: Plan):
 def grouped_table(docs: DataFrame, plan: Plan, key: str, text: str, n_bytes: int | None = None) -> tuple[DataFrame, int]:
     """doc_id, text, grp in a bucketed table of the shared folder; the number of groups grows with the input."""
     spark = docs.sparkSession
-    groups = max(8, -(-(n_bytes or storage.input_bytes(docs)) // plan.group_bytes))
+    size = n_bytes or storage.input_bytes(docs, text)
+    groups = max(8, -(-size // min(16 * plan.group_bytes, max(plan.group_bytes, size // 4096))))
     tasks = max(2, -(-groups // 4))
     rows = storage.text_column(docs, key, text)
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))

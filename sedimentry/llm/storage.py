@@ -139,9 +139,16 @@ def by_bucket(packed: DataFrame, tasks: int, fn, dtype: np.dtype, schema: str) -
     return dealt.mapInArrow(gather, schema)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a plan's size, from file sizes: what bucket counts grow with."""
-    return max(1, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+#: An estimate beyond this is Spark's stand-in for an unknown size, or a product of sizes under a join.
+UNKNOWN_BYTES = 1 << 50
+
+
+def input_bytes(df: DataFrame, text: str = "text") -> int:
+    """What bucket counts grow with: Spark's estimate of a plan's size from its files; measured where it has none."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if found > UNKNOWN_BYTES:
+        found = df.agg(F.sum(F.octet_length(text)).cast("long")).first()[0] or 0
+    return max(1, found)
 
 
 def tasks_for(spark: SparkSession) -> int:
