@@ -102,7 +102,7 @@ def _repetitive(f: Features) -> bool:
 
 
 def _symbols(f: Features) -> bool:
-    return 100 * f.n_symbols > 30 * f.n_words
+    return f.n_symbols > f.n_words
 
 
 def _lines(f: Features) -> bool:
@@ -113,7 +113,8 @@ def _word_length(f: Features) -> bool:
     return not 2 * f.n_words <= f.word_chars <= 20 * f.n_words
 
 
-#: Two base rules, then the method's own, set so that ordinary prose of any language passes.
+#: Two base rules, then the method's own, set so that prose of any language, lists and tables pass: only texts with more
+#: symbols than words, mostly repeated lines, or words of unlikely length are junk.
 BASE = (Rule("too_short", _short), Rule("repeated_trigrams", _repetitive))
 RULES = (*BASE, Rule("symbol_ratio", _symbols), Rule("duplicate_lines", _lines), Rule("word_length", _word_length))
 
@@ -191,7 +192,7 @@ with w as (
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 100 * n_symbols > 30 * n_words
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or n_symbols > n_words
     or 100 * n_dup_lines > 50 * n_lines or not (word_chars between 2 * n_words and 20 * n_words)) as kept
 from judged
 """
