@@ -20,7 +20,6 @@ Hashes only choose what is compared; equality is decided on the symbols themselv
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -147,16 +146,12 @@ def anchors(seq, plan: Plan):
 
 def grouped_table(docs: DataFrame, plan: Plan, key: str, text: str, n_bytes: int | None = None) -> tuple[DataFrame, int]:
     """doc_id, text, grp in a bucketed table of the shared folder; the number of groups grows with the input."""
-    spark = docs.sparkSession
     size = n_bytes or storage.input_bytes(docs, text)
     groups = max(8, -(-size // min(16 * plan.group_bytes, max(plan.group_bytes, size // 4096))))
     tasks = max(2, -(-groups // 4))
     rows = storage.text_column(docs, key, text)
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
-    name, path = f"sedimentry_{uuid.uuid4().hex}", storage.new_path(spark, "groups")
-    dealt = rows.repartition(tasks, "grp").write.bucketBy(tasks, "grp").option("compression", "zstd").option("path", path)
-    dealt.format("parquet").saveAsTable(name)
-    return spark.table(name), tasks
+    return storage.bucketed(rows, "groups", tasks, "grp"), tasks
 
 
 def documents_of(table: pa.Table):

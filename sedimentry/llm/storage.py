@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _made: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,12 +50,22 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bucketed(df: DataFrame, label: str, buckets: int, by: str) -> DataFrame:
+    """df, dealt by a column, as a bucketed table in the shared folder: later groupings by it don't move rows again."""
+    spark, name = df.sparkSession, f"sedimentry_{uuid.uuid4().hex}"
+    _tables.append((spark, name))
+    writer = df.repartition(buckets, by).write.bucketBy(buckets, by).option("compression", "zstd").option("path", new_path(spark, label))
+    writer.format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def _sweep() -> None:
-    for spark, path in _made:
-        try:
-            discard(spark, path)
-        except Exception:  # noqa: BLE001, S112  the session is gone: nothing is left to delete with
-            continue
+    for drop, made in ((lambda spark, name: spark.sql(f"drop table if exists {name}"), _tables), (discard, _made)):
+        for spark, what in made:
+            try:
+                drop(spark, what)
+            except Exception:  # noqa: BLE001, S112  the session is gone: nothing is left to delete with
+                continue
 
 
 atexit.register(_sweep)
