@@ -3,9 +3,11 @@
 Words are lowered and stripped of punctuation; numbers, units and names (capitalised words inside a sentence) become
 typed placeholders, so a question asked again with other numbers or names keeps its template. Windows of eight template
 words are hashed and joined between documents and benchmark items; windows with fewer than four literal words don't
-count. A candidate pair is then laid out along its best alignment: the item is found if matched windows cover 60 % of it
-and its slots are consistent, i.e. at least 80 % of the placeholders follow one mapping, the same in both directions, from
-the item's values to the document's. ``exact`` means that all values are equal, ``reparameterised`` that some differ.
+count. A candidate pair is then laid out along its best alignment, matched windows chained in order over neighbouring
+offsets, so that words put in, left out or replaced by more words don't break it: the item is found if the chain covers
+60 % of it and its slots are consistent, i.e. at least 80 % of the placeholders follow one mapping, the same in both
+directions, from the item's values to the document's. ``exact`` means that all values are equal, ``reparameterised`` that
+some differ.
 
 The windows of the benchmark are counted first. Up to ``BROADCAST_WINDOWS`` (16 MB) they are sent to every task and
 documents are matched where they are read; beyond that, windows of both sides are joined by a shuffle.
@@ -103,16 +105,82 @@ def window_hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(total)[good], good
 
 
+def pieces_of(spots: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """(first word, first item word, item word behind the last, offset) of every unbroken stretch of matched windows."""
+    by: dict[int, list[int]] = {}
+    for d, i in spots:
+        by.setdefault(d - i, []).append(i)
+    out = []
+    for shift, at in by.items():
+        at.sort()
+        first, behind = at[0], at[0] + WINDOW
+        for i in at[1:]:
+            if i > behind:
+                out.append((first + shift, first, behind, shift))
+                first = i
+            behind = i + WINDOW
+        out.append((first + shift, first, behind, shift))
+    return sorted(out)
+
+
+def alignments(pieces: list[tuple[int, int, int, int]], n: int) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(words covered, first word, parts) of alignments of an item of n words, those that cover most first.
+
+    For every piece the best chain that ends with it, where each piece stands behind the one before in item and document and
+    its offset differs by no more than the part of an item that needn't be covered; and all pieces of one offset. A part is
+    (first item word, item word behind the last, offset).
+    """
+    slack = max(WINDOW, int(n * (1 - COVER)))
+    best: list[tuple[int, int, int]] = []  # (words covered, first item word of its own, piece before)
+    for k, (d, i, z, shift) in enumerate(pieces):
+        cover, own, before, turn = z - i, i, -1, 0
+        for j in range(k - 1, -1, -1):
+            dj, _, zj, sj = pieces[j]
+            if d - dj > n + slack:
+                break
+            begin = max(i, zj, zj + sj - shift)
+            if abs(shift - sj) > slack or begin >= z:
+                continue
+            got = best[j][0] + z - begin
+            if got > cover or got == cover and before >= 0 and abs(shift - sj) < turn:
+                cover, own, before, turn = got, begin, j, abs(shift - sj)
+        best.append((cover, own, before))
+    out, straight = [], {}
+    for k, (cover, _, _) in enumerate(best):
+        straight.setdefault(pieces[k][3], []).append((pieces[k][1], pieces[k][2], pieces[k][3]))
+        if cover >= COVER * n:
+            parts, at = [], k
+            while at >= 0:
+                parts.append((best[at][1], pieces[at][2], pieces[at][3]))
+                at = best[at][2]
+            out.append((cover, parts[-1][0] + parts[-1][2], parts[::-1]))
+    for parts in straight.values():
+        if (cover := sum(z - i for i, z, _ in parts)) >= COVER * n and len(parts) > 1:
+            out.append((cover, parts[0][0] + parts[0][2], parts))
+    return sorted(out, key=lambda x: (-x[0], x[1]))
+
+
+def _slot(words: list[tuple], at: int, behind: int, ahead: int) -> str:
+    """The value of the slot at a word, with the words of its kind around it that lie between the next aligned words."""
+    first, end = at, at + 1
+    while first > behind + 1 and words[first - 1][1] == words[at][1]:
+        first -= 1
+    while end < ahead and words[end][1] == words[at][1]:
+        end += 1
+    return " ".join(w[2] for w in words[first:end])
+
+
 def compare(item: list[tuple], words: list[tuple], spots: list[tuple[int, int]]) -> dict | None:
-    """The alignment of an item in a document with most matched windows, if it passes. spots: (word, item word)."""
-    best = None
-    for shift, _ in sorted(Counter(d - i for d, i in spots).items(), key=lambda x: (-x[1], x[0]))[:8]:
-        covered = sorted({i + k for d, i in spots if d - i == shift for k in range(WINDOW)})
-        cover = len(covered) / len(item)
-        if best is not None and cover <= best["coverage"]:
-            continue
+    """The alignment of an item in a document that covers most of it, of those that pass. spots: (word, item word)."""
+    for cover, first, parts in alignments(pieces_of(spots), len(item))[:8]:
         ahead, back = Counter(), Counter()
-        slots = [(item[i][1], item[i][2], words[i + shift][2]) for i in covered if item[i][1]]
+        pairs = [(i, i + shift) for a, z, shift in parts for i in range(a, z)]
+        slots = []
+        for k, (i, d) in enumerate(pairs):
+            if kind := item[i][1]:
+                i0, d0 = pairs[k - 1] if k else (-1, -1) if i else (-1, d - 1)
+                i1, d1 = pairs[k + 1] if k + 1 < len(pairs) else (len(item), len(words) if i + 1 < len(item) else d + 1)
+                slots.append((kind, _slot(item, i, i0, i1), _slot(words, d, d0, d1)))
         for kind, a, b in slots:
             ahead[kind, a, b] += 1
             back[kind, b, a] += 1
@@ -122,10 +190,10 @@ def compare(item: list[tuple], words: list[tuple], spots: list[tuple[int, int]])
         for (kind, b, a), n in sorted(back.items(), key=lambda x: (-x[1], x[0])):
             pot.setdefault((kind, b), a)
         agree = sum(top[kind, a] == b and pot[kind, b] == a for kind, a, b in slots)
-        if cover >= COVER and agree >= CONSISTENT * len(slots):
+        if agree >= CONSISTENT * len(slots):
             same = all(a == b for _, a, b in slots)
-            best = {"coverage": cover, "n_slots": len(slots), "n_consistent": agree, "kind": "exact" if same else "reparameterised", "first_word": covered[0] + shift}
-    return best
+            return {"coverage": cover / len(item), "n_slots": len(slots), "n_consistent": agree, "kind": "exact" if same else "reparameterised", "first_word": first}
+    return None
 
 
 class Index:

@@ -457,6 +457,23 @@ def test_leaks(spark, limit, monkeypatch):
     assert {1, 2} & {r.doc_id for r in decontam.clean(docs, benchmark).collect()} == set()
 
 
+@pytest.mark.parametrize("change", [("Maria", "Maria Lopez"), ("sold 12 of", "sold then 12 of"), ("and later she", "and she"), ("12", "twenty five"), ("later she", "later that day she")])
+def test_leaks_over_offsets(spark, change):
+    _, benchmark = _leak_tables(spark)
+    item = benchmark.where("item_id = 7").first().text
+    docs = spark.createDataFrame([(1, "before it. " + item.replace(*change) + ". " + "behind it")], "doc_id long, text string")
+    got = decontam.leaks(docs, benchmark).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)] and got[0].n_consistent == got[0].n_slots > 0
+    assert decontam.clean(docs, benchmark).count() == 0
+
+
+def test_slots_over_offsets(spark):
+    _, benchmark = _leak_tables(spark)
+    item = benchmark.where("item_id = 7").first().text
+    wrong = item.replace("later she", "later indeed she").replace("bought 12", "bought 40").replace("1997", "5").replace("for 3", "for 5")
+    assert decontam.leaks(spark.createDataFrame([(1, wrong)], "doc_id long, text string"), benchmark).count() == 0
+
+
 def test_planted_leaks(spark, small):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = [(r.item_id, " ".join(r.text.split())) for r in items.collect()]
