@@ -9,11 +9,16 @@ offsets, so that words put in, left out or replaced by more words don't break it
 directions, from the item's values to the document's. ``exact`` means that all values are equal, ``reparameterised`` that
 some differ.
 
+Verbatim copies are found besides, whatever their length, case or share of placeholders: texts are also read as plain,
+case-folded words, numbers and signs of arithmetic (other punctuation is left out), and an item that stands in a document
+as a whole, word by word, is ``exact`` with coverage 1. One run of at most eight of its words, the one with the smallest
+hash, is looked up; the whole item is then compared.
+
 The windows of the benchmark are counted first. Up to ``BROADCAST_WINDOWS`` (16 MB) they are sent to every task and
 documents are matched where they are read; beyond that, windows of both sides are joined by a shuffle.
 
-Edge cases: null or empty texts and items match nothing; items of fewer than eight template words can't be told from
-chance and match nothing; repeated documents are reported each, repeated items by their own ids; rows with a null doc_id
+Edge cases: null or empty texts and items, and items without letters and digits, match nothing; items of fewer than eight template words are found only verbatim,
+however short they are; repeated documents are reported each, repeated items by their own ids; rows with a null doc_id
 are matched like others; empty tables give empty results; other columns are ignored (``clean`` passes them through).
 """
 
@@ -41,54 +46,136 @@ _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
 _GLUED = re.compile(r"(\d)([A-Za-z]+)\b")
 _EDGE = re.compile(r"^[^\w+-]+|[^\w]+$")
 _STOPS = (".", "!", "?", ":")
-_KINDS = {"number": np.uint64(11), "unit": np.uint64(12), "name": np.uint64(13)}
+_PLAIN = re.compile(r"\d+(?:[.,:/]\d+)*|\w+|[+\-*/=<>^%×÷]")
+_SIGNS = frozenset("+-*/=<>^%×÷")
+_JOINED = re.compile(r"\d[A-Za-z]")
+_KIND_CODES = {"number": 11, "unit": 12, "name": 13}
+_CAPITAL, _ENDS, _FULL, _COUNT = 1, 2, 4, 3
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(_MULTIPLIER, k, 1 << 64) for k in range(WINDOW)], np.uint64)
 
 
+def _digest(data: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(data)
+
+
+class _Numbers(dict):
+    """Numbers of words; a word that is met for the first time is handed to ``add``."""
+
+    def __init__(self, add):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, word: str) -> int:
+        got = self[word] = self.add(word)
+        return got
+
+
 class Canon:
-    """Template words of texts. Each distinct word is analysed once; the cache is bounded."""
+    """Template words and plain words of texts. Each distinct word is analysed once; the cache is bounded."""
 
     def __init__(self, cached: int = 300_000):
-        self.cached, self.cache = cached, {}
-
-    def _analyse(self, word: str) -> tuple[int, str, str, bool, bool]:
-        """(hash, kind or '', literal value, may be a name, ends a sentence)."""
-        import xxhash
-
-        bare = _EDGE.sub("", word)
-        low = bare.lower()
-        kind = "number" if _NUMBER.fullmatch(bare) or low in NUMBERS else "unit" if low in UNITS else ""
-        code = int(_KINDS[kind]) if kind else xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) | 16
-        if len(self.cache) >= self.cached:
-            self.cache.clear()
-        got = self.cache[word] = (code, kind, low, not kind and bare[:1].isupper(), word.endswith(_STOPS))
-        return got
+        self.cached = cached
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.kind, self.low, self.new = _Numbers(self._analyse), [], [], ([], [], [])
+        self.code, self.facts, self.plain_at, self.plain = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.counts = [0, 0]  # words and plain words in the tables
+
+    def _analyse(self, word: str) -> int:
+        """The number of a new word, under which it is described."""
+        k, bare = len(self.kind), word if word.isalpha() else _EDGE.sub("", word)
+        low, letters = bare.lower(), bare.isalpha()
+        kind = "number" if low in NUMBERS or not letters and _NUMBER.fullmatch(bare) else "unit" if low in UNITS else ""
+        code = _digest(low.encode("utf-8", "surrogatepass"))
+        if letters and low.isascii() and (bare is word or _SIGNS.isdisjoint(word)):
+            plain = [code]
+        else:
+            plain = [_digest(x.encode("utf-8", "surrogatepass")) for x in _PLAIN.findall(word.casefold())]
+        self.kind.append(kind)
+        self.low.append(low)
+        codes, facts, plains = self.new
+        codes.append(_KIND_CODES[kind] if kind else code | 16)
+        facts.append(_CAPITAL * (not kind and bare[:1].isupper()) | _ENDS * word.endswith(_STOPS) | _FULL * bool(low) | len(plain) << _COUNT)
+        plains.extend(plain)
+        return k
+
+    def _settle(self) -> None:
+        """Bring new words into the tables."""
+        codes, facts, plains = (np.array(x, kind) for x, kind in zip(self.new, (np.uint64, np.int64, np.uint64), strict=True))
+        n, used = self.counts
+        behind = used + np.cumsum(facts >> _COUNT)
+        for name, at, fresh in (("code", n, codes), ("facts", n, facts), ("plain_at", n, behind - (facts >> _COUNT)), ("plain", used, plains)):
+            table = getattr(self, name)
+            if at + len(fresh) > len(table):
+                table = np.concatenate([table, np.zeros(len(table) + len(fresh) + 1024, table.dtype)])
+                setattr(self, name, table)
+            table[at : at + len(fresh)] = fresh
+        self.counts, self.new = [n + len(codes), used + len(plains)], ([], [], [])
+
+    def read(self, text: str) -> Reading:
+        if len(self.kind) >= self.cached:
+            self._forget()
+        if _JOINED.search(text):
+            text = _GLUED.sub(r"\1 \2", text)
+        parts = text.split()
+        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        if self.new[0]:
+            self._settle()
+        return Reading(self, at)
+
+
+class Reading:
+    """A text's words by their numbers; to be used before the next text is read."""
+
+    def __init__(self, canon: Canon, at: np.ndarray):
+        self.canon, self.all, self.facts = canon, at, canon.facts[at]
+        self.full, self.name = self.facts & _FULL != 0, self.facts & _CAPITAL != 0
+        self.name[:1] = False
+        self.name[1:] &= self.facts[:-1] & _ENDS == 0
 
-    def words(self, text: str) -> list[tuple[int, str, str]]:
+    def codes(self) -> np.ndarray:
+        """Hashes of the template words."""
+        return np.where(self.name, np.uint64(_KIND_CODES["name"]), self.canon.code[self.all])[self.full]
+
+    def words(self) -> list[tuple[int, str, str]]:
         """(hash, kind, value) of every template word."""
-        if re.search(r"\d[A-Za-z]", text):
-            text = _GLUED.sub(r"\1 \2", text)
-        out, start, known = [], True, self.cache.get
-        for word in text.split():
-            code, kind, low, capital, stops = known(word) or self._analyse(word)
-            if capital and not start:
-                code, kind = 13, "name"
-            if low:
-                out.append((code, kind, low))
-            start = stops
-        return out
+        kind, low = self.canon.kind, self.canon.low
+        names = self.name[self.full].tolist()
+        return [(c, "name" if name else kind[k], low[k]) for c, k, name in zip(self.codes().tolist(), self.all[self.full].tolist(), names, strict=True)]
 
-    def codes(self, text: str) -> np.ndarray:
-        if re.search(r"\d[A-Za-z]", text):
-            text = _GLUED.sub(r"\1 \2", text)
-        out, start, known = [], True, self.cache.get
-        for word in text.split():
-            code, _, low, capital, stops = known(word) or self._analyse(word)
-            if low:
-                out.append(13 if capital and not start else code)
-            start = stops
-        return np.array(out, np.uint64)
+    def plain(self) -> np.ndarray:
+        """Hashes of the plain words."""
+        n = self.facts >> _COUNT
+        behind = np.cumsum(n)
+        return self.canon.plain[np.repeat(self.canon.plain_at[self.all] - behind + n, n) + np.arange(behind[-1] if len(n) else 0)]
+
+    def word_of(self, k: int) -> int:
+        """The template word in or behind which the k-th plain word is."""
+        at = int(np.searchsorted(np.cumsum(self.facts >> _COUNT), k, "right"))
+        return int(self.full[:at].sum())
+
+
+def _sums(token: np.ndarray, n: int) -> np.ndarray:
+    """Every run of n tokens as a polynomial of its tokens."""
+    if n == 1 or len(token) < n:
+        return token[: len(token) - n + 1] if n == 1 else token[:0]
+    if n % 2:
+        return token[: 1 - n] + _sums(token, n - 1)[1:] * _POWERS[1]
+    half = _sums(token, n // 2)
+    return half[: len(half) - n // 2] + half[n // 2 :] * _POWERS[n // 2]
+
+
+def _found(hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which h are among the sorted hashes, and where their equals begin and end."""
+    if not len(hashes):
+        return (np.zeros(0, np.int64),) * 3
+    lo = np.searchsorted(hashes, h)
+    some = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == h)
+    return some, lo[some], np.searchsorted(hashes, h[some], "right")
 
 
 def window_hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,15 +183,25 @@ def window_hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(codes) - WINDOW + 1
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    token = mixed(codes)
-    total = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        total += token[k : k + n] * _POWERS[k]
+    total = _sums(mixed(codes), WINDOW)
     literal = np.cumsum(np.r_[0, codes > 15])
     good = np.flatnonzero(literal[WINDOW:] - literal[:-WINDOW] >= LITERALS)
     return mixed(total)[good], good
 
 
+def plain_hashes(plain: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n plain words, n up to WINDOW; other than those of template windows and of other lengths."""
+    return mixed(~(_sums(mixed(plain), n) + np.uint64(n)))
+
+
+def anchor(plain: np.ndarray) -> tuple[int, int, int]:
+    """(length, hash, position) of the run of plain words by which an item is looked up."""
+    n = min(WINDOW, len(plain))
+    h = plain_hashes(plain, n)
+    k = int(h.argmin())
+    return n, int(h[k]), k
+
+
 def pieces_of(spots: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
     """(first word, first item word, item word behind the last, offset) of every unbroken stretch of matched windows."""
     by: dict[int, list[int]] = {}
@@ -197,51 +294,77 @@ def compare(item: list[tuple], words: list[tuple], spots: list[tuple[int, int]])
 
 
 class Index:
-    """Items and their windows, for matching where documents are read."""
+    """Items, their windows and anchors, for matching where documents are read."""
 
     def __init__(self, items: list[tuple[int, str]]):
         canon = Canon()
-        self.items = [(key, canon.words(text)) for key, text in items]
-        parts = [window_hashes(np.array([w[0] for w in words], np.uint64)) for _, words in self.items]
+        self.items, self.plain, parts, anchors = [], [], [], {}
+        for k, (key, text) in enumerate(items):
+            reading = canon.read(text)
+            self.items.append((key, reading.words()))
+            self.plain.append(plain := reading.plain())
+            parts.append(window_hashes(reading.codes()))
+            if reading.full.any():
+                n, h, i = anchor(plain)
+                anchors.setdefault(n, []).append((h, i, k))
         self.hash = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
         self.at = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
         self.of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.at, self.of = self.hash[order], self.at[order], self.of[order]
+        self.anchors = {n: (np.array([x[0] for x in sorted(found)], np.uint64), [x[1:] for x in sorted(found)]) for n, found in anchors.items()}
+
+    def verbatim(self, plain: np.ndarray) -> dict[int, int]:
+        """The first plain word of every item that stands in a text as a whole."""
+        out: dict[int, int] = {}
+        for n, (hashes, places) in self.anchors.items():
+            h = plain_hashes(plain, n)
+            for d, lo, hi in zip(*(x.tolist() for x in _found(hashes, h)), strict=True):
+                for i, k in places[lo:hi]:
+                    if k not in out and d >= i and np.array_equal(plain[d - i : d - i + len(self.plain[k])], self.plain[k]):
+                        out[k] = d - i
+        return out
 
     def matches(self, text: str, canon: Canon) -> list[dict]:
-        if not len(self.hash) or not text:
-            return []
-        h, pos = window_hashes(canon.codes(text))
-        lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-        some = np.flatnonzero(hi > lo)
-        if not len(some):
+        if not text:
             return []
+        reading = canon.read(text)
+        found: dict[int, dict] = {}
+        for of, at in self.verbatim(reading.plain()).items():
+            slots = sum(bool(w[1]) for w in self.items[of][1])
+            found[of] = {"coverage": 1.0, "n_slots": slots, "n_consistent": slots, "kind": "exact", "first_word": reading.word_of(at)}
+        h, pos = window_hashes(reading.codes())
         spots: dict[int, list[tuple[int, int]]] = {}
-        for k in some.tolist():
-            for j in range(int(lo[k]), int(hi[k])):
-                spots.setdefault(int(self.of[j]), []).append((int(pos[k]), int(self.at[j])))
-        words, out = canon.words(text), []
-        for of, pairs in sorted(spots.items()):
-            key, item = self.items[of]
-            if (got := compare(item, words, pairs)) is not None:
-                out.append({"item_id": key, **got})
-        return out
+        for k, lo, hi in zip(*(x.tolist() for x in _found(self.hash, h)), strict=True):
+            for j in range(lo, hi):
+                if (of := int(self.of[j])) not in found:
+                    spots.setdefault(of, []).append((int(pos[k]), int(self.at[j])))
+        words = reading.words() if spots else []
+        for of, pairs in spots.items():
+            if (got := compare(self.items[of][1], words, pairs)) is not None:
+                found[of] = got
+        return [{"item_id": self.items[of][0], **got} for of, got in sorted(found.items())]
 
 
 LEAKS = "doc_id long, item_id long, coverage double, n_slots long, n_consistent long, kind string, first_word long"
 _LEAK_TYPE = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_slots", pa.int64()), ("n_consistent", pa.int64()), ("kind", pa.string()), ("first_word", pa.int64())])
 
 
-def _windows(df: DataFrame, name: str) -> DataFrame:
-    """(name, hash) of every template window of df's (name, text)."""
+def _windows(df: DataFrame, name: str, lengths: list[int] | None = None) -> DataFrame:
+    """(name, hash) of every template window of df's (name, text), and of all runs of so many plain words; None: its anchor."""
 
     def run(batches):
         canon = Canon()
         for batch in batches:
             keys, hashes = [], []
             for key, text in zip(batch.column(0).to_pylist(), storage.texts_of(batch, 1), strict=True):
-                h = np.unique(window_hashes(canon.codes(text))[0])
+                reading = canon.read(text)
+                plain = reading.plain()
+                if lengths is None:
+                    own = [np.array([anchor(plain)[1]], np.uint64)] if reading.full.any() else []
+                else:
+                    own = [plain_hashes(plain, n) for n in lengths]
+                h = np.unique(np.concatenate([window_hashes(reading.codes())[0], *own]))
                 hashes.append(h)
                 keys.extend([key] * len(h))
             flat = np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64)
@@ -250,6 +373,18 @@ def _windows(df: DataFrame, name: str) -> DataFrame:
     return storage.map_batches(df, run, f"{name} long, hash long")
 
 
+def _anchor_lengths(items: DataFrame) -> list[int]:
+    """The lengths of the items' anchors, WINDOW of them at most."""
+
+    def run(batches):
+        canon, seen = Canon(), set()
+        for batch in batches:
+            seen |= {min(WINDOW, len(canon.read(x).plain())) for x in storage.texts_of(batch, 1)}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen - {0}), pa.int64())], ["n"])
+
+    return sorted(r.n for r in storage.map_batches(items, run, "n long").distinct().collect())
+
+
 def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     return benchmark.select(F.col(item).cast("long").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -281,7 +416,7 @@ def _leaks_by_map(rows: DataFrame, shared) -> DataFrame:
 
 def _leaks_by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
     """Windows joined by hash; the texts of candidate pairs are then compared as above."""
-    pairs = _windows(rows, "doc_id").join(_windows(items.select("item_id", "text"), "item_id"), "hash").select("doc_id", "item_id").distinct()
+    pairs = _windows(rows, "doc_id", _anchor_lengths(items)).join(_windows(items.select("item_id", "text"), "item_id"), "hash").select("doc_id", "item_id").distinct()
     both = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").join(rows, "doc_id").select("doc_id", "text", "item_id", "item_text")
 
     def run(batches):

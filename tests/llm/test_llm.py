@@ -474,6 +474,21 @@ def test_slots_over_offsets(spark):
     assert decontam.leaks(spark.createDataFrame([(1, wrong)], "doc_id long, text string"), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 20, -1])
+def test_verbatim_leaks(spark, limit, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", limit)
+    long = "In the year 1997 Maria bought 12 apples for 3 dollars and later she sold 12 of them to her friend Peter near the old river bridge"
+    items = [(1, "Who wrote Hamlet?"), (2, "12 km + 7 kg - 3 lb * 9 oz / 4 m = 8 cm"), (3, long), (4, "12 + 7 = ?"), (5, "?!"), (6, ""), (7, "-")]
+    texts = {1: "so who wrote Hamlet? Not me", 2: "it was 12 km + 7 kg - 3 lb * 9 oz / 4 m = 8 cm then", 3: "ab " + long.title() + ".", 4: "(12 + 7 = ?)", 5: "ab! " + long.upper(), 6: 'he asked "WHO WROTE\nHAMLET" again'}
+    near = {11: "who wrote of Hamlet", 12: "12 km + 7 kg - 3 lb * 9 oz / 4 m = 9 cm", 13: "12 - 7 = 5", 14: "?! and", 15: "12 7"}
+    docs = spark.createDataFrame([*texts.items(), *near.items()], "doc_id long, text string").repartition(2)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.leaks(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 3), (6, 1)} and len(got) == 6
+    assert all((r.coverage, r.kind) == (1.0, "exact") for r in got) and {r.doc_id: r.first_word for r in got} == {1: 1, 2: 2, 3: 1, 4: 0, 5: 1, 6: 2}
+    assert {r.doc_id for r in decontam.clean(docs, benchmark).collect()} == set(near)
+
+
 def test_planted_leaks(spark, small):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = [(r.item_id, " ".join(r.text.split())) for r in items.collect()]
