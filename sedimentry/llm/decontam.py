@@ -269,7 +269,7 @@ def _slot(words: list[tuple], at: int, behind: int, ahead: int) -> str:
 
 def compare(item: list[tuple], words: list[tuple], spots: list[tuple[int, int]]) -> dict | None:
     """The alignment of an item in a document that covers most of it, of those that pass. spots: (word, item word)."""
-    for cover, first, parts in alignments(pieces_of(spots), len(item))[:8]:
+    for cover, first, parts in alignments(pieces_of(spots), len(item)):
         ahead, back = Counter(), Counter()
         pairs = [(i, i + shift) for a, z, shift in parts for i in range(a, z)]
         slots = []

@@ -474,6 +474,15 @@ def test_slots_over_offsets(spark):
     assert decontam.leaks(spark.createDataFrame([(1, wrong)], "doc_id long, text string"), benchmark).count() == 0
 
 
+def test_leak_behind_many_variants(spark):
+    _, benchmark = _leak_tables(spark)
+    item = benchmark.where("item_id = 7").first().text
+    wrong = [item.replace("1997", "5").replace("for 3", "for 5").replace("bought 12", f"bought {40 + k}").replace("sold 12", f"sold {80 + k}") for k in range(12)]
+    docs = [(1, ". ".join(wrong)), (2, ". ".join([*wrong, item.replace("12", "77")])), (3, ". ".join([*wrong, item.replace("Maria", "Helga").replace("later she", "later indeed she")]))]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(2, 7), (3, 7)} and all(r.n_consistent == r.n_slots for r in got)
+
+
 @pytest.mark.parametrize("limit", [1 << 20, -1])
 def test_verbatim_leaks(spark, limit, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", limit)
