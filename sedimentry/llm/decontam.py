@@ -15,7 +15,8 @@ as a whole, word by word, is ``exact`` with coverage 1. One run of at most eight
 hash, is looked up; the whole item is then compared.
 
 The windows of the benchmark are counted first. Up to ``BROADCAST_WINDOWS`` (16 MB) they are sent to every task and
-documents are matched where they are read; beyond that, windows of both sides are joined by a shuffle.
+documents are matched where they are read; beyond that, windows of both sides are joined by a shuffle, under digests of the texts: the verdict on a
+document depends on its text alone, so rows with null or repeated ids are joined like others.
 
 Edge cases: null or empty texts and items, and items without letters and digits, match nothing; items of fewer than eight template words are found only verbatim,
 however short they are; repeated documents are reported each, repeated items by their own ids; rows with a null doc_id
@@ -29,7 +30,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
@@ -350,6 +351,10 @@ LEAKS = "doc_id long, item_id long, coverage double, n_slots long, n_consistent
 _LEAK_TYPE = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_slots", pa.int64()), ("n_consistent", pa.int64()), ("kind", pa.string()), ("first_word", pa.int64())])
 
 
+def _digest_of(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def _windows(df: DataFrame, name: str, lengths: list[int] | None = None) -> DataFrame:
     """(name, hash) of every template window of df's (name, text), and of all runs of so many plain words; None: its anchor."""
 
@@ -368,9 +373,9 @@ def _windows(df: DataFrame, name: str, lengths: list[int] | None = None) -> Data
                 hashes.append(h)
                 keys.extend([key] * len(h))
             flat = np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(flat)], [name, "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(flat)], [name, "hash"])
 
-    return storage.map_batches(df, run, f"{name} long, hash long")
+    return storage.map_batches(df, run, f"{name} string, hash long")
 
 
 def _anchor_lengths(items: DataFrame) -> list[int]:
@@ -401,7 +406,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     index = _index_if_small(items)
     if index is not None:
         return _leaks_by_map(rows, spark.sparkContext.broadcast(index))
-    return _leaks_by_shuffle(rows, items)
+    return _leaks_by_shuffle(rows, items).drop("doc_key")
 
 
 def _leaks_by_map(rows: DataFrame, shared) -> DataFrame:
@@ -415,19 +420,20 @@ def _leaks_by_map(rows: DataFrame, shared) -> DataFrame:
 
 
 def _leaks_by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """Windows joined by hash; the texts of candidate pairs are then compared as above."""
-    pairs = _windows(rows, "doc_id", _anchor_lengths(items)).join(_windows(items.select("item_id", "text"), "item_id"), "hash").select("doc_id", "item_id").distinct()
-    both = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").join(rows, "doc_id").select("doc_id", "text", "item_id", "item_text")
+    """Windows joined by hash; the texts of candidate pairs are then compared as above. doc_key: digest of the document."""
+    rows, items = rows.withColumn("doc_key", _digest_of(F.col("text"))), items.withColumn("item_key", _digest_of(F.col("text")))
+    pairs = _windows(rows.select("doc_key", "text"), "doc_key", _anchor_lengths(items.select("item_id", "text"))).join(_windows(items.select("item_key", "text"), "item_key"), "hash")
+    both = pairs.select("doc_key", "item_key").distinct().join(items.withColumnRenamed("text", "item_text"), "item_key").join(rows, "doc_key")
 
     def run(batches):
         canon = Canon()
         for batch in batches:
             got = []
-            for key, x, item_id, item_text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got.extend({"doc_id": key, **m} for m in Index([(item_id, item_text)]).matches(x or "", canon))
-            yield pa.RecordBatch.from_pylist(got, schema=_LEAK_TYPE)
+            for doc_key, key, x, item_id, item_text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got.extend({"doc_key": doc_key, "doc_id": key, **m} for m in Index([(item_id, item_text)]).matches(x or "", canon))
+            yield pa.RecordBatch.from_pylist(got, schema=pa.schema([("doc_key", pa.string()), *_LEAK_TYPE]))
 
-    return storage.map_batches(both, run, LEAKS)
+    return storage.map_batches(both.select("doc_key", "doc_id", "text", "item_id", "item_text"), run, f"doc_key string, {LEAKS}")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -435,8 +441,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     items = _items(benchmark, item, item_text)
     index = _index_if_small(items)
     if index is None:
-        gone = _leaks_by_shuffle(storage.text_column(docs, key, text), items).select(F.col("doc_id").alias("__gone")).distinct()
-        return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
+        gone = _leaks_by_shuffle(storage.text_column(docs, key, text), items).select("doc_key").distinct()
+        return docs.join(gone, _digest_of(docs[text]) == gone["doc_key"], "left_anti")
     shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text)
 
     def run(batches):

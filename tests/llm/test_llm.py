@@ -483,6 +483,21 @@ def test_leak_behind_many_variants(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(2, 7), (3, 7)} and all(r.n_consistent == r.n_slots for r in got)
 
 
+def test_leaks_by_both_paths(spark, monkeypatch):
+    docs, benchmark = _leak_tables(spark)
+    item = benchmark.where("item_id = 7").first().text
+    docs = docs.unionByName(spark.createDataFrame([(1, "clean row under a repeated id"), (None, "clean row without an id"), (2, item), (2, item)], "doc_id long, text string"))
+    benchmark = benchmark.unionByName(spark.createDataFrame([(None, item), (7, item), (7, "ab ab. Who asked Maria this"), (10, None)], "item_id long, text string"))
+    found, left = [], []
+    for limit in (1 << 20, -1):
+        monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", limit)
+        found.append(collections.Counter(tuple(r) for r in decontam.leaks(docs, benchmark).collect()))
+        left.append(collections.Counter(tuple(r) for r in decontam.clean(docs, benchmark).collect()))
+    assert found[0] == found[1] and left[0] == left[1]
+    assert collections.Counter((r[0], r[1]) for r in found[1].elements()) == {(d, i): n * m for d, n in ((1, 1), (2, 3), (None, 1)) for i, m in ((7, 2), (None, 1))}
+    assert {r[1] for r in left[1]} >= {"clean row under a repeated id", "clean row without an id", None, ""} and item not in {r[1] for r in left[1]}
+
+
 @pytest.mark.parametrize("limit", [1 << 20, -1])
 def test_verbatim_leaks(spark, limit, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", limit)
