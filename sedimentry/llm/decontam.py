@@ -253,7 +253,7 @@ def alignments(pieces: list[tuple[int, int, int, int]], n: int) -> list[tuple[in
                 at = best[at][2]
             out.append((cover, parts[-1][0] + parts[-1][2], parts[::-1]))
     for parts in straight.values():
-        if (cover := sum(z - i for i, z, _ in parts)) >= COVER * n and len(parts) > 1:
+        if (cover := sum(z - i for i, z, _ in parts)) >= COVER * n:
             out.append((cover, parts[0][0] + parts[0][2], parts))
     return sorted(out, key=lambda x: (-x[0], x[1]))
 
@@ -268,26 +268,28 @@ def _slot(words: list[tuple], at: int, behind: int, ahead: int) -> str:
     return " ".join(w[2] for w in words[first:end])
 
 
+def _slots(item: list[tuple], words: list[tuple], pairs: list[tuple[int, int]], inner: bool, outer: bool) -> tuple[int, list[tuple]]:
+    """How many slots agree, and all of them. Values of several words are joined between aligned words, or at the ends too."""
+    slots = []
+    for k, (i, d) in enumerate(pairs):
+        if kind := item[i][1]:
+            i0, d0 = pairs[k - 1] if k and inner else (-1, -1) if outer and i and not k else (i - 1, d - 1)
+            i1, d1 = pairs[k + 1] if inner and k + 1 < len(pairs) else (len(item), len(words)) if outer and i + 1 < len(item) and k + 1 == len(pairs) else (i + 1, d + 1)
+            slots.append((kind, _slot(item, i, i0, i1), _slot(words, d, d0, d1)))
+    ahead, back = Counter(slots), Counter((kind, b, a) for kind, a, b in slots)
+    top, pot = {}, {}
+    for (kind, a, b), _ in sorted(ahead.items(), key=lambda x: (-x[1], x[0])):
+        top.setdefault((kind, a), b)
+    for (kind, b, a), _ in sorted(back.items(), key=lambda x: (-x[1], x[0])):
+        pot.setdefault((kind, b), a)
+    return sum(top[kind, a] == b and pot[kind, b] == a for kind, a, b in slots), slots
+
+
 def compare(item: list[tuple], words: list[tuple], spots: list[tuple[int, int]]) -> dict | None:
     """The alignment of an item in a document that covers most of it, of those that pass. spots: (word, item word)."""
     for cover, first, parts in alignments(pieces_of(spots), len(item)):
-        ahead, back = Counter(), Counter()
         pairs = [(i, i + shift) for a, z, shift in parts for i in range(a, z)]
-        slots = []
-        for k, (i, d) in enumerate(pairs):
-            if kind := item[i][1]:
-                i0, d0 = pairs[k - 1] if k else (-1, -1) if i else (-1, d - 1)
-                i1, d1 = pairs[k + 1] if k + 1 < len(pairs) else (len(item), len(words) if i + 1 < len(item) else d + 1)
-                slots.append((kind, _slot(item, i, i0, i1), _slot(words, d, d0, d1)))
-        for kind, a, b in slots:
-            ahead[kind, a, b] += 1
-            back[kind, b, a] += 1
-        top, pot = {}, {}
-        for (kind, a, b), n in sorted(ahead.items(), key=lambda x: (-x[1], x[0])):
-            top.setdefault((kind, a), b)
-        for (kind, b, a), n in sorted(back.items(), key=lambda x: (-x[1], x[0])):
-            pot.setdefault((kind, b), a)
-        agree = sum(top[kind, a] == b and pot[kind, b] == a for kind, a, b in slots)
+        agree, slots = max((_slots(item, words, pairs, *way) for way in ((True, False), (True, True), (False, False))), key=lambda x: x[0])
         if agree >= CONSISTENT * len(slots):
             same = all(a == b for _, a, b in slots)
             return {"coverage": cover / len(item), "n_slots": len(slots), "n_consistent": agree, "kind": "exact" if same else "reparameterised", "first_word": first}
