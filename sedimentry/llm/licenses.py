@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from . import storage
 
 #: Base phrases and their labels.
-PHRASES = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 #: Excerpts of public license texts and of the notices by which works refer to them.
 TEMPLATES = (
@@ -66,12 +66,12 @@ class Automaton:
                 last = self._extend(last, self.ids[w])
                 ends.append((last, t, i + 1))
         n, whole = len(self.templates), len(self.next)
-        self.at: list[dict[int, int]] = [{} for _ in range(whole)]  # template -> an end position of the state's words
+        self.at: list[dict[int, list[int]]] = [{} for _ in range(whole)]  # template -> all end positions of the state's words
         self.found: list[list[tuple[int, int]]] = [[] for _ in range(whole)]  # phrases that end here: (length, phrase)
         for state, t, end in ends:
             while state > 0:
-                if t < n and t not in self.at[state]:
-                    self.at[state][t] = end
+                if t < n:
+                    self.at[state].setdefault(t, []).append(end)
                 state = self.link[state]
         for p, (_, text) in enumerate(self.phrases):
             state = 0
@@ -152,27 +152,29 @@ def chain(matches, auto: Automaton, gap: int = GAP) -> list[tuple[float, int, in
     """Chains per template: (coverage, template, first word, word after the last)."""
     per: dict[int, list[tuple[int, int, int, int]]] = {}
     for end, n, state in matches:
-        for t, at in auto.at[state].items():
-            per.setdefault(t, []).append((end - n, end, at - n, at))
+        for t, ends in auto.at[state].items():
+            per.setdefault(t, []).extend((end - n, end, at - n, at) for at in ends)
     chains = []
     for t, spans in per.items():
         size = len(auto.templates[t][1])
         open_: list[list[int]] = []  # text start, text end, template end, words covered
         for a, z, b, y in sorted(spans):
-            best = None
-            for c in open_:
-                if a - c[1] <= gap and b >= c[2] and a >= c[1] and (best is None or c[3] > best[3]):
-                    best = c
-            if best is None:
-                open_.append([a, z, y, z - a])
-            else:
-                best[1], best[2], best[3] = z, y, best[3] + z - a
-            if open_ and len(open_) > 64:  # chains that ended long ago can't grow
-                live = [c for c in open_ if a - c[1] <= gap]
-                chains.extend((c[3] / size, t, c[0], c[1]) for c in open_ if a - c[1] > gap)
-                open_ = live
+            open_, done = [c for c in open_ if a - c[1] <= gap], [c for c in open_ if a - c[1] > gap]
+            chains.extend((c[3] / size, t, c[0], c[1]) for c in done)
+            before = max((c for c in open_ if b >= c[2] and a >= c[1]), key=lambda c: c[3], default=None)
+            open_.append([before[0], z, y, before[3] + z - a] if before else [a, z, y, z - a])
         chains.extend((c[3] / size, t, c[0], c[1]) for c in open_)
-    return chains
+    return _apart(chains)
+
+
+def _apart(chains: list[tuple[float, int, int, int]]) -> list[tuple[float, int, int, int]]:
+    """Of the chains of one template that overlap, the one that covers most."""
+    kept: dict[int, list[tuple[float, int, int, int]]] = {}
+    for c in sorted(chains, key=lambda c: (-c[0], c[2], c[3])):
+        own = kept.setdefault(c[1], [])
+        if all(c[3] <= x[2] or x[3] <= c[2] for x in own):
+            own.append(c)
+    return sorted((c for own in kept.values() for c in own), key=lambda c: (c[1], c[2]))
 
 
 def scan(text: str, auto: Automaton | None = None, least: int = LEAST, gap: int = GAP, cover: float = COVER) -> dict:
@@ -212,3 +214,21 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols, spans], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
     return storage.map_batches(storage.text_column(docs, key, text), run, f"{FIELDS}, {SPANS}")
+
+
+#: The base columns; labels and score of the method can't be expressed in SQL.
+_STARTS = "list_filter(range(len(w)), lambda i: list_slice(w, i + 1, i + {n}) = [{words}])"
+_PLACES = [(label, _STARTS.format(n=len(p.split()), words=", ".join(f"'{x}'" for x in p.split()))) for p, label in PHRASES]
+BASE = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+BASE_ORACLE = rf"""
+with lowered as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), found as (
+  select doc_id, len(w)::bigint as n_words, {", ".join(f"{places} as p{k}" for k, (_, places) in enumerate(_PLACES))} from lowered
+), joined as (
+  select *, {" || ".join(f"p{k}" for k in range(len(_PLACES)))} as places from found
+)
+select doc_id, n_words, len(places)::bigint as n_base, coalesce(list_min(places), -1)::bigint as first_word, coalesce(list_max(places), -1)::bigint as last_word,
+  array_to_string(list_sort([x for x in [{", ".join(f"case when len(p{k}) > 0 then '{label}' end" for k, (label, _) in enumerate(_PLACES))}] if x is not null]), ',') as base_labels
+from joined
+"""

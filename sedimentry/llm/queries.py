@@ -41,6 +41,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir)).drop("spans")
 
 
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of the license scan, which SQL can express; -1 where there is no place."""
+    return licenses.license_scan(documents(spark, sf_dir)).select(*licenses.BASE).fillna(-1, ["first_word", "last_word"])
+
+
 def op5_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose shingle sets reach Jaccard 0.8."""
     return jaccard.similarity_components(documents(spark, sf_dir))
@@ -64,6 +69,7 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_license_scan": op2_license_scan,
+    "license_base_places": license_base_places,
     "op3_suffix_trees": op3_suffix_trees,
     "op4_quality_cascade": op4_quality_cascade,
     "op5_partition_join": op5_partition_join,
@@ -73,4 +79,4 @@ QUERIES = {
     "op9_length_histogram": op9_length_histogram,
     "op10_template_leaks": op10_template_leaks,
 }
-ORACLES = {"op1_pareto_mix": mixing.ORACLE, "op4_quality_cascade": quality.ORACLE}
+ORACLES = {"op1_pareto_mix": mixing.ORACLE, "license_base_places": licenses.BASE_ORACLE, "op4_quality_cascade": quality.ORACLE}
