@@ -21,16 +21,13 @@ plays array<struct<eventId: bigint, typeDescKey: string, timeInPeriod: string, p
 def look_up_roles(rows: DataFrame, people: DataFrame, key: str, name: str, roles: dict[str, str]) -> DataFrame:
     """rows with one name per role. roles: id column -> name column. Keys are made unique; id 0 and null match nothing.
 
-    All roles are joined at once: ids are unpivoted, joined, and gathered again, so people is shuffled (or broadcast by
-    Spark, where its size allows) once and not once per role.
+    One look-up join per role, each of which Spark broadcasts while people is small; the rows themselves are never gathered again.
     """
-    people = people.groupBy(F.col(key).alias("__id")).agg(F.max(name).alias("__name"))
-    tagged = rows.withColumn("__row", F.monotonically_increasing_id())
-    ids = F.filter(F.array(*[F.struct(F.lit(out).alias("role"), F.col(col).cast("bigint").alias("id")) for col, out in roles.items()]), lambda x: x["id"] != 0)
-    flat = tagged.select("*", F.explode_outer(ids).alias("__r")).withColumn("__id", F.col("__r.id"))
-    joined = flat.join(people, "__id", "left")
-    picks = [F.max(F.when(F.col("__r.role") == out, F.col("__name"))).alias(out) for out in roles.values()]
-    return joined.groupBy("__row", *rows.columns).agg(*picks).drop("__row")
+    people = people.groupBy(F.col(key).cast("bigint").alias("__id")).agg(F.max(name).alias("__name"))
+    for col, out in roles.items():
+        own = people.where("__id <> 0").select(F.col("__id").alias(f"__{out}"), F.col("__name").alias(out))
+        rows = rows.join(own, F.col(col).cast("bigint") == F.col(f"__{out}"), "left").drop(f"__{out}")
+    return rows
 
 
 def roster_map(spots: Column) -> Column:

@@ -46,11 +46,23 @@ def verdict(checked: DataFrame, chain: str, order: str) -> DataFrame:
     )
 
 
-def sequential(rows: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
-    """A true chain: each hash covers the one before. Serial by nature, so one row per chain is folded in order."""
-    listed = rows.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p")))).alias("xs"))
-    folded = F.aggregate("xs", F.lit(""), lambda last, x: F.sha2(F.concat(last, F.lit("|"), x["p"]), 256))
-    return listed.select(chain, F.size("xs").cast("bigint").alias("records"), folded.alias("head"))
+def sequential(rows: DataFrame, chain: str, order: str, payload: str, segment: int = 1024) -> DataFrame:
+    """A true chain: each hash covers the one before. A chain is folded in segments of so many records, each from an empty start,
+    and the heads of the segments are folded again, so no row holds more than a segment or a chain's heads."""
+    fold = lambda xs: F.aggregate(xs, F.lit(""), lambda last, x: F.sha2(F.concat(last, F.lit("|"), x["p"]), 256))
+    listed = lambda at, what: F.array_sort(F.collect_list(F.struct(F.col(at).alias("o"), F.col(what).alias("p"))))
+    place = F.row_number().over(Window.partitionBy(chain).orderBy(order)) - 1
+    numbered = rows.select(chain, F.col(order).alias("__o"), F.col(payload).alias("__p"), F.floor(place / segment).alias("__s"))
+    heads = numbered.groupBy(chain, "__s").agg(F.count(F.lit(1)).alias("__n"), fold(listed("__o", "__p")).alias("__h"))
+    return heads.groupBy(chain).agg(F.sum("__n").alias("records"), fold(listed("__s", "__h")).alias("head"))
+
+
+def audit_text(stats: DataFrame, scope: str) -> DataFrame:
+    """A line of an audit report from ``statistics``; figures that don't exist read n/a."""
+    number = lambda c: F.coalesce(F.format_string("%.4f", c), F.lit("n/a"))
+    shown = {c: F.when(F.col(c).isNull(), "n/a").otherwise(number(F.col(c))) for c in ("mean", "low", "high")}
+    line = F.concat(F.lit("records: "), F.col("n").cast("string"), F.lit(", mean "), shown["mean"], F.lit(", from "), shown["low"], F.lit(" to "), shown["high"])
+    return stats.select(F.lit(scope).alias("scope"), line.alias("line"))
 
 
 def statistics(log: DataFrame, value: str = "confidence") -> DataFrame:

@@ -49,9 +49,37 @@ def accept(matches: DataFrame, threshold: float = 0.45, strict: bool = False) ->
     return matches.withColumn("match", F.when(ok, F.col("match")))
 
 
+def _blocks(targets: DataFrame, most: int = BROADCAST_NAMES) -> DataFrame:
+    """The rows of a target schema as arrays (__targets) of about most at most: one row, unless the schema is very long."""
+    n = targets.limit(most + 1).count()
+    if n > most:
+        n = targets.count()
+    block = F.pmod(F.xxhash64("target"), F.lit(-(-n // most) or 1))
+    return targets.groupBy(block.alias("__block")).agg(F.collect_list(F.struct(*targets.columns)).alias("__targets"))
+
+
+def best_vector(raw: DataFrame, targets: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The target (target, idx, g) of the greatest cosine to each raw vector, to six places; ties go to the smallest idx. Targets
+    meet rows as arrays, so rows are scored in a projection and only met again where there are several blocks."""
+    score = lambda t: F.struct(F.round(cosine(F.col(vector), t["g"]), 6).alias("score"), (-t["idx"]).alias("order"), t["target"].alias("target"))
+    blocks = _blocks(targets.select("target", "idx", "g"))
+    scored = raw.crossJoin(F.broadcast(blocks)).select(key, F.array_max(F.transform("__targets", score)).alias("__b"))
+    best = scored.groupBy(key).agg(F.max("__b").alias("__b"))
+    return best.select(key, F.col("__b.target").alias("match"), F.col("__b.score").alias("confidence"))
+
+
+def best_by_name(raw: DataFrame, targets: DataFrame, score: Callable[[Column, Column], Column]) -> DataFrame:
+    """The target name of the greatest score for each distinct raw name; ties go to the first name in the alphabet."""
+    pick = lambda t: F.struct((-score(t["target"], F.col("raw"))).alias("score"), t["target"].alias("target"))
+    scored = raw.crossJoin(F.broadcast(_blocks(targets.select("target")))).select("raw", F.array_min(F.transform("__targets", pick)).alias("__b"))
+    best = scored.groupBy("raw").agg(F.min("__b").alias("__b"))
+    return best.select("raw", F.col("__b.target").alias("match"), (-F.col("__b.score")).alias("confidence"))
+
+
 def tiered(raw: DataFrame, learned: DataFrame, fallback: DataFrame) -> DataFrame:
-    """raw (raw), learned (raw, target), fallback (raw, match, confidence): exact learned names first, then the fallback."""
-    out = raw.join(F.broadcast(learned.withColumnRenamed("target", "__learned")), "raw", "left").join(fallback, "raw", "left")
+    """raw (raw), learned (raw, target), fallback (raw, match, confidence): exact learned names first, then the fallback. Learned
+    mappings grow with feedback, so the join is left to Spark, which broadcasts what is small."""
+    out = raw.join(learned.withColumnRenamed("target", "__learned"), "raw", "left").join(fallback, "raw", "left")
     known = F.col("__learned").isNotNull()
     return out.select(
         "raw",
@@ -61,6 +89,20 @@ def tiered(raw: DataFrame, learned: DataFrame, fallback: DataFrame) -> DataFrame
     )
 
 
+def tiers(raw: DataFrame, exact: DataFrame, fuzzy: DataFrame, plain: DataFrame, key: str) -> DataFrame:
+    """exact (key, learned), then fuzzy, then plain (key, match, confidence), each accepted already; with the method that decided."""
+    out = raw.join(exact, key, "left")
+    for name, tier in (("fuzzy", fuzzy), ("plain", plain)):
+        out = out.join(tier.select(key, F.col("match").alias(name), F.col("confidence").alias(f"{name}_confidence")), key, "left")
+    case = lambda *xs: F.when(F.col("learned").isNotNull(), xs[0]).when(F.col("fuzzy").isNotNull(), xs[1])
+    return out.select(
+        key,
+        F.coalesce("learned", "fuzzy", "plain").alias("match"),
+        case(F.lit(1.0), F.col("fuzzy_confidence")).otherwise(F.col("plain_confidence")).alias("confidence"),
+        case(F.lit("learned"), F.lit("fuzzy")).when(F.col("plain").isNotNull(), "scored").otherwise("none").alias("method"),
+    )
+
+
 class Collision(ValueError):
     """Two raw columns resolve to one target."""
 

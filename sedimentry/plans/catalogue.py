@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import insight, matching, quality
+from . import insight, matching, quality, workflow
 
-QUERIES: dict = {**matching.QUERIES, **quality.QUERIES, **insight.QUERIES}
-ORACLES: dict = {**matching.ORACLES, **quality.ORACLES, **insight.ORACLES}
+QUERIES: dict = {**matching.QUERIES, **quality.QUERIES, **insight.QUERIES, **workflow.QUERIES}
+ORACLES: dict = {**matching.ORACLES, **quality.ORACLES, **insight.ORACLES, **workflow.ORACLES}

@@ -12,7 +12,7 @@ from . import fixtures as fx
 
 
 def feedback_consensus(spark, sf_dir):
-    return fb.consensus(fx.feedback(spark, sf_dir), 0.3)
+    return fb.consensus(fx.feedback(spark, sf_dir), 0.1)
 
 
 def feedback_stats(spark, sf_dir):
@@ -113,7 +113,7 @@ def team_label(spark, sf_dir):
 
 def nested_orders(spark, sf_dir):
     """Documents of orders with their lines, flattened again with conditional columns."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    li = table(spark, sf_dir, "lineitem")
     docs = li.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_quantity")).alias("lines"))  # a handful of lines per order
     flat = docs.select("l_orderkey", F.explode("lines").alias("p"))
     flag = F.col("p.l_returnflag")
@@ -160,13 +160,15 @@ def imu_kernel(spark, sf_dir):
     t = F.col("event_id") / 50.0
     m = telemetry.imu(t, telemetry.lap_position(t), noisy=False)
     g = telemetry.gps(telemetry.lap_position(t), noisy=False)
-    return e.select("event_id", m["gx"].alias("gx"), m["gy"].alias("gy"), g["latitude"].alias("latitude"), g["longitude"].alias("longitude"))
+    return e.select("event_id", *[m[c].alias(c) for c in ("gx", "gy", "gz")], *[g[c].alias(c) for c in ("latitude", "longitude", "speed")])
 
 
 def grid_session(spark, sf_dir):
-    """A whole grid session of 20 drivers, 15 laps and 925 samples, summed per driver."""
-    g = telemetry.grid_session(spark, telemetry.demo_session())
-    return g.groupBy("driver_id").agg(F.count(F.lit(1)).alias("n"), F.sum("is_pit_stop").alias("pit"), F.round(F.avg("speed_kph"), 3).alias("speed"), F.max("heart_rate_bpm").alias("top_rate"))
+    """A whole noise-free grid session of 20 drivers, 15 laps and 925 samples, summed per driver."""
+    g = telemetry.grid_session(spark, telemetry.demo_session(), noisy=False)
+    return g.groupBy("driver_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("is_pit_stop").alias("pit"), F.round(F.avg("speed_kph"), 3).alias("speed"), F.max("heart_rate_bpm").alias("top_rate"), F.sum("drs").alias("open_wing"), F.sum("sector").alias("sectors")
+    )
 
 
 def drift_severity(spark, sf_dir):
@@ -215,7 +217,9 @@ _CHAIN = f"""with h as (select *, {_HASH} as transaction_hash from events),
   log as (select user_id as chain, *, coalesce(lag(transaction_hash) over (partition by user_id order by event_id), 'genesis') as previous_hash from h)"""
 _SWEEP = f"""{_F}, s as (select t as threshold, round(count(*) filter (feedback_type = 'approved')::double / count(*), 4) as accuracy,
   round(count(*)::double / (select count(*) from feedback), 4) as coverage from feedback join (select unnest([0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7]::double[]) as t) on confidence_score >= t group by t)"""
-_CORNERS = "(0.10::double, 0.15::double, 0.85::double, 1), (0.20, 0.25, 0.90, -1), (0.30, 0.35, 0.70, 1), (0.55, 0.60, 0.95, -1), (0.75, 0.80, 0.80, 1)"
+_CORNERS = ", ".join(f"({c.start}::double, {c.end}::double, {c.intensity}::double, {c.side})" for c in telemetry.CORNERS)
+_PLACED = f"""arcs(a, z, k, side) as (values {_CORNERS}), bends as (select p.*, coalesce(k * least((x - a) / (z - a) * 2.0, 2.0 - (x - a) / (z - a) * 2.0), 0) as cornering,
+  coalesce(greatest(0, 1.0 - (x - a) / (z - a) * 3.0), 0) as braking, coalesce(side, 0) as side from p left join arcs on x between a and z)"""
 
 QUERIES = {f.__name__: f for f in (
     feedback_consensus, feedback_stats, feedback_bias, bias_buckets, calibration_factors, threshold_sweep, threshold_recommendation, improvement_estimate, correction_history,
@@ -228,7 +232,7 @@ ORACLES = {
     "feedback_consensus": _F + """, v as (select raw_field, case when feedback_type in ('approved', 'corrected') then coalesce(nullif(human_correction, ''), suggested_match) end as vote, seq from feedback),
       g as (select raw_field, vote, count(*) as n, min(seq) as first_ from v group by 1, 2), t as (select *, sum(n) over (partition by raw_field) as total from g),
       r as (select *, row_number() over (partition by raw_field order by n desc, first_) as rn from t where vote is not null)
-      select raw_field, vote as mapping, round(n::double / total, 4) as agreement from r where rn = 1 and n::double / total >= 0.3""",
+      select raw_field, vote as mapping, round(n::double / total, 4) as agreement from r where rn = 1 and n::double / total >= 0.1""",
     "feedback_stats": _F + "select count(*) as total, " + ", ".join(f"count(*) filter (feedback_type = '{t}') as n_{t}, round(count(*) filter (feedback_type = '{t}')::double / count(*), 4) as {t}_rate, round(coalesce(avg(round(confidence_score, 4)) filter (feedback_type = '{t}'), 0), 6) as {t}_confidence" for t in fb.TYPES) + ", count(distinct raw_field) as n_fields from feedback",
     "feedback_bias": _F + " select suggested_match || ' -> ' || human_correction as pattern, count(*) as n from feedback where feedback_type = 'corrected' group by 1",
     "bias_buckets": _F + " select case when confidence_score < 0.5 then 'low' else 'high' end as bucket, count(*) as n from feedback where feedback_type = 'corrected' group by 1",
@@ -250,15 +254,31 @@ ORACLES = {
     "roster_lookup_roles": """select o_orderkey, o_custkey as buyer, o_orderkey % 2000 as referrer, b.c_name as buyer_name, r.c_name as referrer_name from orders
       left join customer b on b.c_custkey = o_custkey and o_custkey <> 0 left join customer r on r.c_custkey = o_orderkey % 2000 and o_orderkey % 2000 <> 0""",
     "team_label": "select s_suppkey, coalesce(n_name, 'AWAY') as label from supplier left join nation on n_nationkey = s_nationkey and n_regionkey = 1",
-    "nested_orders": "select l_orderkey, l_linenumber as line, case l_returnflag when 'R' then 'RETURNED' when 'A' then 'ACCEPTED' end as result, case when l_returnflag = 'R' then l_quantity end as returned from lineitem where l_orderkey % 5 = 0 and l_returnflag <> 'N'",
+    "nested_orders": "select l_orderkey, l_linenumber as line, case l_returnflag when 'R' then 'RETURNED' when 'A' then 'ACCEPTED' end as result, case when l_returnflag = 'R' then l_quantity end as returned from lineitem where l_returnflag <> 'N'",
     "zone_range_flag": "select (l_quantity between 5 and 9 or l_quantity between 20 and 24.5 or l_quantity between 40 and 41) as in_zone, count(*) as n from lineitem group by 1",
     "pit_semi_join": "select l_suppkey, count(*) as n from lineitem join supplier on s_suppkey = l_suppkey where l_linenumber = s_suppkey % 5 + 1 or l_linenumber = 3 group by 1",
     "grid_cross_product": "select n_nationkey, lap, tick, lap * 1000 + tick * 100 as ms from nation, (select unnest(range(5)) as lap), (select unnest(range(10)) as tick)",
     "left_default_lookup": "select s_suppkey, coalesce(n_name, 'BED-0') as place from supplier left join nation on n_nationkey = s_nationkey and n_nationkey % 2 = 0",
     "game_ids": "select o_orderkey, '2024202502' || lpad((o_orderkey % 1312)::varchar, 4, '0') as game_id from orders",
-    "corner_profile": f"""with c(a, z, k, side) as (values {_CORNERS}), p as (select event_id, (event_id % 1000)::double / 1000.0::double as x from events)
-      select event_id, round(coalesce(k * (1 - abs((x - a) / (z - a) * 2 - 1)), 0), 6) as cornering, round(coalesce(greatest(0, 1 - (x - a) / (z - a) * 2), 0), 6) as braking, coalesce(side, 0) as side
-      from p left join c on x between a and z""",
+    "corner_profile": f"""with p as (select event_id, (event_id % 1000)::double / 1000.0::double as x from events), {_PLACED}
+      select event_id, round(cornering, 6) as cornering, round(braking, 6) as braking, side from bends""",
+    "imu_kernel": f"""with t as (select event_id, event_id::double / 50.0::double as t from events), p as (select *, (t * 58.0::double) % 4640.0::double / 4640.0::double as x from t), {_PLACED}
+      select event_id, round(side * cornering * 4.2::double, 3) as gx, round((1.0 - cornering) * 1.1::double - braking * 3.8::double, 3) as gy, round(cornering * cornering * 0.6::double + cos(t * 3.0) * 0.2::double + 1.0, 3) as gz,
+        round(sin(x * 2 * pi()) * (480.0::double / 111320.0::double) + 47.0, 6) as latitude, round(cos(x * 2 * pi()) * (950.0::double / (111320.0::double * cos(radians(47.0::double)))) + 8.0, 6) as longitude,
+        round((1.0 - cornering * 0.35::double) * (58.0::double * 3.6::double), 1) as speed from bends""",
+    "grid_session": f"""with d as (select range as k from range(20)), drivers as (select 'D' || lpad(k::varchar, 2, '0') as id, 296.0::double + k % 11 as top, [6 + k % 4, 11] as pits, 58.0::double + k % 9 as rest, 172.0::double + k % 13 as lim, 0.6::double + (k % 8)::double / 20 as calm from d),
+      s as (select *, i::double / 925.0::double as share from drivers, (select unnest(range(15)) as lap), (select unnest(range(925)) as i)),
+      p as (select *, list_contains(pits, lap) and share between 0.48 and 0.58 as stopped, case when list_contains(pits, lap) and share between 0.48 and 0.58 then 444.0::double / 925.0::double else share end as x from s), {_PLACED},
+      v as (select *, case when stopped then 0.0 else greatest(45.0::double, top * (1.0 - 0.55::double * cornering) - 35.0 * braking) end as speed, case when stopped then 0.0 else greatest(0, least(100, (1.0 - braking) * (100.0 - 60.0 * cornering))) end as throttle from bends),
+      l as (select *, sqrt((cornering * cornering + braking * braking + speed / top * (speed / top)) / 3.0) * (case when stopped then 0.25 else 1.0 end)::double as load from v)
+      select id as driver_id, count(*) as n, sum(stopped::int)::bigint as pit, round(avg(round(speed, 1)), 3) as speed, round(max(greatest(40, least(210, rest + (lim - rest) * pow(load, 0.7::double)))), 1) as top_rate,
+        count(*) filter (throttle >= 90 and (x * 4640 between 1100 and 1650 or x * 4640 between 3050 and 3900)) as open_wing, sum(least(floor(x * 3) + 1, 3))::bigint as sectors from l group by 1""",
+    "sequential_chain": """with recursive e as (select user_id, event_id, event_type as p, row_number() over (partition by user_id order by event_id) - 1 as k from events),
+      f(user_id, k, h) as (select user_id, k, sha256('|' || p) from e where k % 1024 = 0
+        union all select e.user_id, e.k, sha256(f.h || '|' || e.p) from f join e on e.user_id = f.user_id and e.k = f.k + 1 where e.k % 1024 <> 0),
+      t as (select user_id, k // 1024 as s, max_by(h, k) as h, count(*) as n from f group by 1, 2),
+      g(user_id, s, h) as (select user_id, s, sha256('|' || h) from t where s = 0 union all select t.user_id, t.s, sha256(g.h || '|' || t.h) from g join t on t.user_id = g.user_id and t.s = g.s + 1)
+      select g.user_id, (select sum(n) from t where t.user_id = g.user_id)::bigint as records, max_by(g.h, g.s) as head from g group by 1""",
     "drift_severity": _F + " select case when confidence_score < 0.7 then 'medium' else 'low' end as severity, count(*) as n from feedback group by 1",
     "run_report_status": """with l as (select user_id as run_id, count(*) filter (event_id % 11 <> 0 and event_id % 401 = 0) as rec, count(*) filter (event_id % 11 = 0) as actions from events group by 1),
       e as (select user_id as run_id, count(*) as n_errors, count(*) filter (event_id % 58 = 0) as crit from events where event_id % 29 = 0 group by 1)

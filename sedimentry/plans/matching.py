@@ -46,11 +46,8 @@ def _vectors(spark, sf_dir):
 
 def _embedding_scores(spark, sf_dir):
     raw, gold = _vectors(spark, sf_dir)
-    rest = raw.join(F.broadcast(gold.select(F.col("gold_id").alias("vec_id"))), "vec_id", "left_anti")
-    pairs = rest.crossJoin(F.broadcast(gold))  # one gold vector per label: a target schema
-    scored = pairs.withColumn("score", F.round(reconcile.cosine(F.col("embedding"), F.col("g")), 6))
-    best = scored.groupBy("vec_id").agg(F.max_by(F.struct("target", "score"), F.struct("score", -F.col("idx"))).alias("b"))
-    return best.select("vec_id", F.col("b.target").alias("match"), F.col("b.score").alias("confidence"))
+    rest = raw.join(gold.select(F.col("gold_id").alias("vec_id")), "vec_id", "left_anti")
+    return reconcile.best_vector(rest, gold)
 
 
 def embedding_top1_threshold(spark, sf_dir):
@@ -69,11 +66,10 @@ def tiered_resolve(spark, sf_dir):
 
 
 def confidence_sweep(spark, sf_dir):
-    scored = _embedding_scores(spark, sf_dir)
-    reached = F.filter(F.array(*[F.lit(t) for t in (0.3, 0.4, 0.45, 0.5, 0.6)]), lambda t: t <= F.col("confidence"))
-    total = scored.agg(F.count(F.lit(1)).alias("n_all"))
-    per = scored.select(F.explode(reached).alias("threshold")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"))
-    return per.crossJoin(F.broadcast(total)).select("threshold", "n", F.round(F.col("n") / F.col("n_all"), 6).alias("share"))
+    levels = (0.3, 0.4, 0.45, 0.5, 0.6)
+    one = _embedding_scores(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_all"), *[F.count_if(F.col("confidence") >= t).alias(str(i)) for i, t in enumerate(levels)])
+    flat = one.select("n_all", F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(str(i)).alias("n")) for i, t in enumerate(levels)])).alias("x"))
+    return flat.where("x.n > 0").select("x.threshold", "x.n", F.round(F.col("x.n") / F.col("n_all"), 6).alias("share"))
 
 
 def review_routing(spark, sf_dir):

@@ -52,7 +52,7 @@ def null_statistics(spark, sf_dir):
 
 def safe_cast_normalise(spark, sf_dir):
     r = fx.readings(spark, sf_dir)
-    return r.select("event_id", rules.safe_double(F.col("reading")).alias("as_double"), rules.safe_long(F.get_json_object(F.concat(F.lit('{"k": "'), "code", F.lit('"}')), "$.k")).alias("as_long"))
+    return r.select("event_id", rules.safe_double(F.col("reading")).alias("as_double"), rules.safe_long(F.col("code")).alias("as_long"))
 
 
 def truthy_boolean(spark, sf_dir):
@@ -161,6 +161,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLES = {
+    "page_text_lengths": r"""select page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')))::bigint as n_chars from pages""",
     "row_violations": _V + " select event_id, array_to_string(violations, ',') as violations from v",
     "violation_counts": _V + " select rule, count(*) as n from (select unnest(violations) as rule from v) group by rule",
     "first10_violations": _V + """, f as (select event_id, unnest(violations) as rule from v)

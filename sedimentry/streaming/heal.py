@@ -70,3 +70,29 @@ def heal(packets: DataFrame, resolve: Callable[[str], tuple[str | None, float]])
     return packets.groupBy("driver_id").transformWithStateInPandas(
         KeyHealer(resolve), "driver_id string, sample_id bigint, raw_key string, healed_key string, value double, drift_event boolean", "Append", "None"
     )
+
+
+def with_events(healed: DataFrame, healed_path: str, events_path: str, checkpoint: str):
+    """Starts a query that writes healed rows and, beside them, one row for every key that was learned. Batches that run again
+    replace what they wrote."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        events = batch.where("drift_event").select("driver_id", "sample_id", "raw_key", "healed_key")
+        for rows, path in ((batch.drop("drift_event"), healed_path), (events, events_path)):
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.unpersist()
+
+    return healed.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rolling_view(rows: DataFrame, order: str, keep: int, path: str, checkpoint: str):
+    """Starts a query that holds the last ``keep`` rows of a stream as a small table, numbered by batch; the newest number counts."""
+    spark = rows.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{path}/batch={number - 1}") if number else None
+        both = batch.unionByName(before) if before is not None else batch
+        both.orderBy(F.col(order).desc()).limit(keep).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -128,7 +128,7 @@ def test_grid_session_size(spark):
     g = telemetry.grid_session(spark, telemetry.demo_session(2, laps=3))
     assert g.count() == 2 * 3 * 925
     one = g.agg(F.min("rpm"), F.max("rpm"), F.max("gear"), F.min("heart_rate_bpm")).first()
-    assert one[0] >= 3000 and one[1] <= 12000 and one[2] == 7 and one[3] >= 60
+    assert one[0] >= 3600 and one[1] <= 12400 and one[2] == 8 and one[3] >= 40
 
 
 def test_toggle_has_no_state():
