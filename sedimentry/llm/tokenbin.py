@@ -3,7 +3,8 @@
 Writing. Texts are encoded once and their ids kept as a compressed table together with one row of id counts per task.
 The counts' sum, bounded by the vocabulary, gives one canonical code with words of 16 bits at most (package-merge).
 Each document's ids are coded on their own, starting at a byte, with a checkpoint of its bit offset every 256 ids; coded
-documents are then exchanged by ranges of doc_id, sorted, and packed into blocks.
+documents are then exchanged by ranges of doc_id and a checksum of their ids, so that neither rows without a doc_id nor the rows
+of one doc_id make a part of their own, sorted, and packed into blocks; a part is a range.
 
 File format: a Parquet table of blocks. part and block order the blocks; first is the number of ids before the block in
 its part; doc_ids and doc_lens (int64) list its documents; checkpoints (int64) hold the bit offset of every 256th id of
@@ -142,7 +143,7 @@ def decode_block(payload: bytes, checkpoints: np.ndarray, doc_lens: np.ndarray,
 # --- tables ----------------------------------------------------------------------------------------------------------
 
 IDS = "doc_id long, n_tokens long, check long, ids binary, counts binary"
-CODED = "part int, doc_id long, check long, n_tokens long, marks binary, payload binary"
+CODED = "doc_id long, check long, n_tokens long, marks binary, payload binary"
 BLOCKS = "part int, block int, first long, n_tokens long, doc_ids binary, known binary, doc_lens binary, checkpoints binary, payload binary"
 _IDS_TYPE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("check", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
@@ -187,13 +188,9 @@ def global_counts(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def part_bounds(ids: DataFrame, n_bytes: int) -> list[int]:
-    """Upper doc_ids of the parts: quantiles of doc_id, as many as parts of PART_BYTES need."""
-    parts = max(1, -(-n_bytes // PART_BYTES), min(16, storage.tasks_for(ids.sparkSession)))
-    if parts == 1:
-        return []
-    docs = ids.where("ids is not null and doc_id is not null")
-    return sorted({int(x) for x in docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)})
+def part_count(spark: SparkSession, n_bytes: int) -> int:
+    """Parts of PART_BYTES of ids; small inputs get a part a task, up to 16."""
+    return max(1, -(-n_bytes // PART_BYTES), min(16, storage.tasks_for(spark)))
 
 
 def write_ids(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID) -> None:
@@ -202,7 +199,6 @@ def write_ids(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "te
     ids = storage.store(encode_ids(docs, path, key, text, end_id), "ids")
     lengths = code_lengths(global_counts(ids))
     codes = canonical(lengths)
-    bounds = np.array(part_bounds(ids, storage.input_bytes(ids)), np.int64)
     width = 2 if int(len(lengths)) <= 1 << 16 else 4
     code = spark.sparkContext.broadcast((codes, lengths))  # bounded by the vocabulary
 
@@ -217,11 +213,9 @@ def write_ids(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "te
             flat = np.frombuffer(joined, kind)
             data, at, starts = encode_documents(flat, lens, codes, lengths)
             firsts = np.r_[0, np.cumsum(lens)]
-            keys = batch.column(0).to_pylist()
-            part = [0 if k is None else int(np.searchsorted(bounds, k, side="left")) for k in keys]
             marks = [(at[firsts[i] : firsts[i + 1] : STEP] - (starts[i] << 3)).astype("<i8").tobytes() for i in range(len(lens))]
             loads = [data[starts[i] : starts[i + 1]] for i in range(len(lens))]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), batch.column(2), batch.column(1), pa.array(marks, pa.binary()), pa.array(loads, pa.binary())], ["part", "doc_id", "check", "n_tokens", "marks", "payload"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), pa.array(marks, pa.binary()), pa.array(loads, pa.binary())], ["doc_id", "check", "n_tokens", "marks", "payload"])
 
     def pack(batches):
         now, block, first, held = None, 0, 0, []
@@ -250,7 +244,9 @@ def write_ids(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "te
             yield flush()
 
     rows = ids.where("ids is not null").drop("counts").mapInArrow(encode, CODED)
-    rows = rows.repartition(max(len(bounds) + 1, 1), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "check")
+    order = (F.col("doc_id").asc_nulls_first(), F.col("check"))
+    rows = rows.repartitionByRange(part_count(spark, storage.input_bytes(ids)), *order).sortWithinPartitions(*order)
+    rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "check", "n_tokens", "marks", "payload")
     rows.mapInArrow(pack, BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()), width)], "lengths binary, width int").coalesce(1).write.parquet(f"{folder}/code")
     storage.discard(spark, ids.stored_at)
