@@ -1,15 +1,17 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions.
 
 The tagger is trained in numpy from labelled spans: texts are made by a seeded generator of invented people's mail
-addresses, phone, card and network numbers in several written forms, among them forms that no base pattern describes
-(spelled-out addresses, numbers without a country code). Forward and backward LSTMs over character classes feed a linear
-layer; a CRF over the tags (outside, and begin and inside of each kind) is trained by its likelihood, so decoding is the
+addresses, phone, card and network numbers in many written forms, among them forms that no base pattern describes
+(spelled-out addresses, numbers without a country code, extensions, longer network addresses), between numbers that are
+nobody's. Forward and backward LSTMs over characters feed a linear layer; a CRF over the tags (outside, and begin and inside of each kind) is trained by its likelihood, so decoding is the
 Viterbi path.
 
-Texts are tagged in windows that overlap by half. Windows without a digit and without any at-sign, spelled or not, can't
-hold a span of these kinds and are all outside. Every character takes its emission scores from the window in which it
-lies farthest from an edge, and one global Viterbi pass over each joined stretch decides, so overlaps never disagree.
-Model spans are added only where they don't overlap base spans and have the digits or the sign that their kind needs.
+Texts are tagged in windows that overlap by half. Model spans are added only where they don't overlap base spans and can be of
+their kind (``plausible``: an at-sign and a dotted name, digits enough, a valid check digit or address); one that can't is taken for another
+kind if it can be that. Each such span holds a
+digit, an at-sign, an at in brackets or the word at before a dotted name; windows without any of these, and without a
+neighbour that has one, would give no span and are left out. Every character takes its emission scores from the window in which
+it lies farthest from an edge, and one global Viterbi pass over each joined stretch decides, so overlaps never disagree.
 
 Edge cases: null or empty text has no spans; very long texts are tagged whole, in windows; repeated rows are tagged alike;
 an empty table gives an empty result; other columns are ignored.
@@ -18,6 +20,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import random
 import re
 from functools import lru_cache
@@ -101,21 +104,69 @@ def _digits(rng: random.Random, n: int) -> str:
     return "".join(rng.choice("0123456789") for _ in range(n))
 
 
+_BRACKETS = ("[]", "()", "{}", "<>")
+
+
+def _spelled(rng: random.Random, word: str) -> str:
+    """A sign as people hide it: in words, in brackets, with or without spaces."""
+    word, space = rng.choice((word, word, word.upper())), rng.choice(("", " "))
+    if rng.random() < 0.55:
+        return f" {word} "
+    pair = rng.choice(_BRACKETS)
+    return f"{space}{pair[0]}{word}{pair[1]}{space}"
+
+
+def _name(rng: random.Random) -> str:
+    return rng.choice((_ascii(rng), _ascii(rng), _ascii(rng).capitalize(), f"{_ascii(rng)}{rng.choice('._-')}{_ascii(rng)}", f"{_ascii(rng).capitalize()}.{_ascii(rng).capitalize()}", f"{rng.choice('abcdefghij')}.{_ascii(rng)}"))
+
+
+def _with_check_digit(body: str) -> str:
+    return next(body + c for c in "0123456789" if luhn(body + c))
+
+
 def invent(rng: random.Random, kind: str) -> str:
     """One written form of an invented value."""
     if kind == "email":
-        at, dot = rng.choice((("@", "."), ("@", "."), (" at ", " dot "), ("[at]", "[dot]"), (" [at] ", " [dot] ")))
-        return f"{_ascii(rng)}{rng.choice(('', '.', '_'))}{_digits(rng, rng.randint(0, 3))}{at}{_ascii(rng)}{dot}{rng.choice(_TOPS)}"
+        plain = rng.random() < 0.35
+        at, dot = (rng.choice(("@", "@", " @ ")), ".") if plain else (_spelled(rng, "at"), rng.choice((".", _spelled(rng, "dot"))))
+        labels = [_ascii(rng) for _ in range(rng.choice((1, 1, 2)))] + [rng.choice(_TOPS)]
+        return f"{_name(rng)}{_digits(rng, rng.choice((0, 0, 1, 3)))}{at}{dot.join(labels)}"
     if kind == "ip":
-        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        if rng.random() < 0.6:
+            return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        parts = [f"{rng.getrandbits(rng.choice((4, 12, 16, 16))):x}" for _ in range(8)]
+        parts[0] = rng.choice((parts[0], "fe80", "fd" + parts[1][:2], "2001", "2a0" + parts[1][:1]))
+        if rng.random() < 0.6:
+            k = rng.randint(1, 5)
+            parts[k : k + rng.randint(2, 8 - k)] = [""]
+        whole = ":".join(parts)
+        return rng.choice((whole, whole, whole.upper())) + (":" if whole.endswith(":") else "")
     if kind == "card":
-        sep, body = rng.choice(("", " ", "-")), _digits(rng, 15)
-        whole = next(body + c for c in "0123456789" if luhn(body + c))
+        sep = rng.choice(("", " ", "-", ".", "/"))
+        if rng.random() < 0.3:
+            whole = _with_check_digit("3" + _digits(rng, 13))
+            return sep.join((whole[:4], whole[4:10], whole[10:]))
+        whole = _with_check_digit(rng.choice("456") + _digits(rng, 14))
         return sep.join(whole[k : k + 4] for k in range(0, 16, 4))
-    sep = rng.choice((" ", "-", "."))
-    if rng.random() < 0.5:
-        return f"+{_digits(rng, rng.randint(1, 2))}{sep}{_digits(rng, 3)}{sep}{_digits(rng, 3)}{sep}{_digits(rng, 4)}"
-    return f"({_digits(rng, 3)}) {_digits(rng, 3)}{rng.choice('-. ')}{_digits(rng, 4)}"
+    sep, roll = rng.choice((" ", "-", ".", "/")), rng.random()
+    if roll < 0.3:
+        out = f"{rng.choice(('+', '00'))}{rng.randint(1, 99)}{sep}{_digits(rng, rng.randint(2, 3))}{sep}{_digits(rng, 3)}{sep}{_digits(rng, rng.randint(3, 4))}"
+    elif roll < 0.55:
+        out = f"({_digits(rng, 3)}){rng.choice(('', ' '))}{_digits(rng, 3)}{sep}{_digits(rng, 4)}"
+    elif roll < 0.85:
+        out = f"{_digits(rng, 3)}{sep}{_digits(rng, 3)}{sep}{_digits(rng, 4)}"
+    else:
+        out = f"0{_digits(rng, rng.randint(2, 4))}{sep}{_digits(rng, rng.randint(3, 4))}{sep}{_digits(rng, 4)}"
+    return out + (f"{rng.choice((' ext ', ' ext. ', ' x', ', ext '))}{_digits(rng, rng.randint(1, 4))}" if rng.random() < 0.2 else "")
+
+
+def _other_number(rng: random.Random) -> str:
+    """Numbers that are nobody's: dates, times, amounts, versions, sizes, and at-words in prose."""
+    d = lambda n: _digits(rng, n)
+    return rng.choice((
+        d(rng.randint(1, 6)), f"{d(1)}.{d(2)}", f"{d(4)}-{d(2)}", f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", f"1{d(1)}:{d(2)}", f"{d(2)}/{d(2)}/20{d(2)}", f"${d(2)},{d(3)}.{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(3)}-{d(3)}",
+        f"{d(2)} %", f"No. {d(5)}", f"{_word(rng)} at {_word(rng)}", f"at {d(1)}.{d(2)}", f"{_word(rng)} at {_word(rng)}. {_word(rng).capitalize()}", f"dot {_word(rng)}",
+    ))
 
 
 def labelled(rng: random.Random, length: int) -> tuple[str, list[tuple[int, int, str]]]:
@@ -123,15 +174,16 @@ def labelled(rng: random.Random, length: int) -> tuple[str, list[tuple[int, int,
     text, spans = "", []
     while len(text) < length:
         roll = rng.random()
-        if roll < 0.12:
-            kind = rng.choice(KINDS)
-            value = invent(rng, kind)
+        if roll < 0.14:
+            kind = rng.choice(("email", "email", "email", "ip", "card", "card", "phone", "phone"))
+            value, (before, behind) = invent(rng, kind), rng.choice((("", ""), ("", ""), ("", ""), ("(", ")"), ('"', '"'), (":", ""), ("<", ">"), ("=", ";")))
+            text += before
             spans.append((len(text), len(text) + len(value), kind))
-            text += value
-        elif roll < 0.22:
-            text += rng.choice((_digits(rng, rng.randint(1, 4)), f"{_digits(rng, 1)}.{_digits(rng, 2)}", f"{_digits(rng, 4)}-{_digits(rng, 2)}", f"{_word(rng)} at {_word(rng)}"))
+            text += value + behind
+        elif roll < 0.26:
+            text += _other_number(rng)
         else:
-            word = _word(rng)
+            word = _word(rng) if rng.random() < 0.6 else _ascii(rng)
             text += word.capitalize() if rng.random() < 0.15 else word
         text += rng.choice((" ", " ", " ", " ", ", ", ". ", ".\n"))
     return text, spans
@@ -140,30 +192,16 @@ def labelled(rng: random.Random, length: int) -> tuple[str, list[tuple[int, int,
 # --- model -----------------------------------------------------------------------------------------------------------
 
 TAGS = 1 + 2 * len(KINDS)
-_MARKS = "@.+-()[] \n,:;/_%#*"
-
-
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """Class of each code point below 128: one each for marks and the letters a, d, o, t; digits, lower, upper, other."""
-    table = np.full(129, 3, np.int64)
-    for c in range(128):
-        ch = chr(c)
-        table[c] = 0 if ch.isdigit() else 1 if ch.islower() else 2 if ch.isupper() else 3
-        if ch in _MARKS:
-            table[c] = 4 + _MARKS.index(ch)
-        elif ch in "adot":
-            table[c] = 4 + len(_MARKS) + "adot".index(ch)
-    table[128] = 1
-    return table
-
-
-N_CLASSES = 4 + len(_MARKS) + 4
+#: Every ASCII character is itself; beyond it are letters, and anything else.
+N_CLASSES = 130
 
 
 def classes_of(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _classes()[np.minimum(points, 128)]
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    far = np.flatnonzero(points > 127)
+    if len(far):
+        points[far] = [128 if text[k].isalpha() else 129 for k in far.tolist()]
+    return points
 
 
 def allowed() -> np.ndarray:
@@ -213,7 +251,7 @@ def _lstm_back(x, p, held, grad):
 class Tagger:
     """Emission scores of both LSTMs, and CRF transitions."""
 
-    def __init__(self, size: int = 12, seed: int = 7):
+    def __init__(self, size: int = 16, seed: int = 7):
         rng = np.random.default_rng(seed)
         make = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
         self.ahead = {"W": make(N_CLASSES, 4 * size), "U": make(size, 4 * size), "b": np.zeros(4 * size, np.float32)}
@@ -287,7 +325,7 @@ def batch_of(rng: random.Random, lanes: int, steps: int) -> tuple[np.ndarray, np
 
 
 @lru_cache(maxsize=2)
-def train(rounds: int = 260, lanes: int = 48, steps: int = 64, size: int = 12, seed: int = 7) -> Tagger:
+def train(rounds: int = 800, lanes: int = 48, steps: int = 72, size: int = 16, seed: int = 7) -> Tagger:
     """Adam on freshly made batches; the same seed gives the same model."""
     rng, model = random.Random(seed), Tagger(size, seed)
     groups = (model.ahead, model.back, model.out)
@@ -306,9 +344,13 @@ def train(rounds: int = 260, lanes: int = 48, steps: int = 64, size: int = 12, s
 
 # --- texts -----------------------------------------------------------------------------------------------------------
 
-WINDOW = 64
-#: A span holds a digit, an at-sign, or a spelled at-sign that a spelled dot follows.
-_TRIGGER = re.compile(r"[0-9@]|\[at\]|\bat\b(?=.{1,40}\bdot\b)")
+WINDOW = 96
+_AT, _DOT = r"[\[({<]\s?at\s?[\])}>]", r"[\[({<]\s?dot\s?[\])}>]"
+_DOTTED = rf"(?:(?:\.|\s?{_DOT}\s?|\sdot\s)[\w-]+)"
+_EMAIL = re.compile(rf"[\w.+%-]+(?:\s?@\s?|\s?{_AT}\s?|\sat\s)[\w-]+{_DOTTED}+", re.I)
+_LINE = re.compile(r"(?:\+|\()?[0-9][0-9(). /-]+[0-9]((?:,\s?|\s?)(?:ext\.?|x)\s?[0-9]{1,5})?", re.I)
+#: What every span that passes ``plausible`` holds: a digit, an at-sign, an at in brackets, or the word at before a dotted name.
+_TRIGGER = re.compile(rf"[0-9@]|{_AT}|\sat\s[\w-]+{_DOTTED}", re.I)
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
@@ -334,7 +376,7 @@ def model_spans(texts: list[str], model: Tagger, lanes: int = 512) -> list[list[
         jobs.extend((n, k, s, a, z) for s in range(a, max(a + 1, z - half), half))
     for b in range(0, len(jobs), lanes):
         part = jobs[b : b + lanes]
-        x = np.full((WINDOW, len(part)), 3, np.int64)
+        x = np.full((WINDOW, len(part)), 10, np.int64)
         for lane, (_, k, s, _, z) in enumerate(part):
             own = codes[k][s : min(s + WINDOW, z)]
             x[: len(own), lane] = own
@@ -358,14 +400,19 @@ def model_spans(texts: list[str], model: Tagger, lanes: int = 512) -> list[list[
 
 
 def plausible(value: str, kind: str) -> bool:
-    n = sum(c.isdigit() and c.isascii() for c in value)
+    """Whether a value can be of its kind; what the tagger finds besides is dropped."""
+    digits = "".join(c for c in value if c in "0123456789")
     if kind == "email":
-        return bool(re.fullmatch(r"\S+\s?(?:@|\[at\]|\bat\b)\s?\S+\s?(?:\.|\[dot\]|\bdot\b)\s?\w+", value))
+        return bool(_EMAIL.fullmatch(value))
     if kind == "ip":
-        return bool(re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", value))
-    if not re.fullmatch(r"[0-9+(). -]+", value):
-        return False
-    return 14 <= n <= 19 and luhn("".join(c for c in value if c.isdigit())) if kind == "card" else 9 <= n <= 15
+        try:
+            return bool(digits) and (value.count(".") == 3 or value.count(":") > 1) and bool(ipaddress.ip_address(value))
+        except ValueError:
+            return False
+    if kind == "card":
+        return bool(re.fullmatch(r"[0-9][0-9 ./-]+[0-9]", value)) and 14 <= len(digits) <= 19 and luhn(digits)
+    line = _LINE.fullmatch(value)
+    return bool(line) and 9 <= len(digits) - sum(c.isdigit() for c in line[1] or "") <= 15
 
 
 def tag_texts(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
@@ -373,7 +420,8 @@ def tag_texts(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
     out = []
     for text, found in zip(texts, model_spans(texts, model), strict=True):
         base = base_spans(text)
-        more = [s for s in found if plausible(text[s[0] : s[1]], s[2]) and not any(s[0] < z and a < s[1] for a, z, _ in base)]
+        more = [(a, z, next((k for k in (kind, *KINDS) if plausible(text[a:z], k)), None)) for a, z, kind in found]
+        more = [s for s in more if s[2] and not any(s[0] < z and a < s[1] for a, z, _ in base)]
         out.append((base, sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2]))) if more else base))
     return out
 
