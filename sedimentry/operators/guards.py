@@ -47,6 +47,11 @@ def visible(size: Column, width: Column, top: Column, fold: float = 900.0) -> Co
     return F.coalesce((size > 0) & (width > 0) & (top < fold), F.lit(False))
 
 
+def tidied(text: Column) -> Column:
+    """Trimmed and in capitals; null if nothing is left."""
+    return F.nullif(F.upper(F.trim(text)), F.lit(""))
+
+
 def lower_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 

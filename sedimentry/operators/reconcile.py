@@ -49,6 +49,16 @@ def accept(matches: DataFrame, threshold: float = 0.45, strict: bool = False) ->
     return matches.withColumn("match", F.when(ok, F.col("match")))
 
 
+def scorer(method: str) -> Callable[[Column, Column], Column]:
+    """The scoring function of a method: pattern, edit or characters."""
+    from ..functions import text
+
+    known = {"pattern": pattern_score, "edit": edit_score, "characters": text.ratio}
+    if method not in known:
+        raise ValueError(f"unknown method: {method}; there are {', '.join(known)}")
+    return known[method]
+
+
 def _blocks(targets: DataFrame, most: int = BROADCAST_NAMES) -> DataFrame:
     """The rows of a target schema as arrays (__targets) of about most at most: one row, unless the schema is very long."""
     n = targets.limit(most + 1).count()

@@ -57,6 +57,11 @@ def record_resolutions(feedback: DataFrame, resolutions: DataFrame) -> DataFrame
     return feedback.select(*added.columns).unionByName(added)
 
 
+def cleared(feedback: DataFrame, before: Column) -> DataFrame:
+    """feedback without what was given before an instant; what is left is written as a new table by the caller."""
+    return feedback.where(F.col("ts") >= before)
+
+
 def usage(resolved: DataFrame, method: str = "method", learned: tuple[str, ...] = ("learned", "fuzzy")) -> DataFrame:
     """Hits of learned mappings, fallbacks to scoring, and the share of hits."""
     hit = F.col(method).isin(*learned)

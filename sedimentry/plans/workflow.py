@@ -95,8 +95,9 @@ def matcher_comparison(spark, sf_dir):
     counted = drifted.groupBy("name", "kind", "raw").agg(F.count(F.lit(1)).alias("n"))
     found = counted.select("raw").distinct()
     out = None
-    for method, score in (("pattern", reconcile.pattern_score), ("edit", lambda t, r: F.round(reconcile.edit_score(t, r), 9))):
-        best = reconcile.best_by_name(found, schema, score).withColumn("method", F.lit(method))
+    for method in ("pattern", "edit"):
+        score = reconcile.scorer(method)
+        best = reconcile.best_by_name(found, schema, lambda t, r, score=score: F.round(score(t, r), 9)).withColumn("method", F.lit(method))
         out = best if out is None else out.unionByName(best)
     cut = found.select("raw", F.left("raw", F.lit(15)).alias("match"), F.lit("prefix").alias("method"))
     rows = out.select("raw", "match", "method").unionByName(cut).join(counted, "raw")
@@ -141,6 +142,20 @@ def renamed_fields(spark, sf_dir):
     return guards.display(own.drop("at"), {"level": "Level", "kind": "Kind of event"})
 
 
+def tidied_names(spark, sf_dir):
+    """Names without white space around them, in capitals; what is empty then is null."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 7 == 0, F.lit("   ")).otherwise(F.concat(F.lit("  "), F.lower("n_name"), F.lit(" "))).alias("raw"))
+    return n.select("n_nationkey", guards.tidied(F.col("raw")).alias("name"))
+
+
+def feedback_overview(spark, sf_dir):
+    """Per field: entries, the newest entry, and how many were kept after a clearing of everything before a day."""
+    f = fx.feedback(spark, sf_dir)
+    left = review.cleared(f, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    kept = left.groupBy("raw_field").agg(F.count(F.lit(1)).alias("kept"))
+    return f.groupBy("raw_field").agg(F.count(F.lit(1)).alias("n"), F.max_by("seq", F.struct("ts", "seq")).alias("newest")).join(kept, "raw_field", "left").na.fill(0, ["kept"])
+
+
 def orders_snapshot(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return guards.snapshot(o, "o_orderkey")
@@ -303,7 +318,7 @@ def _intensity_sql(source: str, seed: str, level: float, keep: str) -> str:
 
 QUERIES = {f.__name__: f for f in (
     review_pending, review_feedback, reviewed_mapping, learned_after_resolutions, vector_tiers, translator_usage, retraining_metrics, bias_item_lists, retraining_plan, signed_report,
-    rate_over_time, session_bundle, matcher_comparison, priced_orders, shaped_records, visible_elements, lowered_columns, renamed_fields, orders_snapshot, first_orders, timing_statistics,
+    rate_over_time, session_bundle, matcher_comparison, priced_orders, shaped_records, visible_elements, lowered_columns, renamed_fields, tidied_names, feedback_overview, orders_snapshot, first_orders, timing_statistics,
     auditability, audit_lines, anomaly_counts, value_summary, overridden_regions, first_per_customer, sql_functions, contained_synonyms, drift_by_intensity, thinned_stream, drift_batch,
     relabelled_packets, replay_drift, calibrated_weights, accuracy_curves, accuracy_trials, messy_records, vitals_packets,
 )}
@@ -354,6 +369,8 @@ ORACLES = {
     "visible_elements": "select (l_linenumber > 1 and l_quantity > 0 and l_extendedprice / 50 < 900) as visible, count(*) as n from lineitem group by 1",
     "lowered_columns": "select n_nationkey as nationkey, n_name as name from nation",
     "renamed_fields": 'select event_id as id, event_type as "Kind of event", value as "Level" from events',
+    "tidied_names": "select n_nationkey, case when n_nationkey % 7 <> 0 then upper(n_name) end as name from nation",
+    "feedback_overview": _F + """ select raw_field, count(*) as n, max_by(seq, struct_pack(t := ts, s := seq)) as newest, count(*) filter (ts >= timestamp '2024-01-15 00:00:00') as kept from feedback group by 1""",
     "orders_snapshot": """select 'o_orderkey,o_custkey' as columns, (select count(*) from orders) as n_rows,
       (select sha256(string_agg(o_orderkey::varchar || '|' || o_custkey::varchar, chr(10) order by o_orderkey)) from (select * from orders order by o_orderkey limit 5)) as sample_hash""",
     "first_orders": "select o_orderkey, o_custkey from orders order by o_orderkey limit 5",

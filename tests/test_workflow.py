@@ -67,6 +67,12 @@ def test_long_schema_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, reconcile.best_vector(rows, targets).collect())) == whole
 
 
+def test_scorers_by_name():
+    assert reconcile.scorer("pattern") is reconcile.pattern_score
+    with pytest.raises(ValueError, match="unknown method"):
+        reconcile.scorer("guess")
+
+
 def test_calibration_reaches_the_target():
     accuracy = {"a": 0.6, "b": 0.9, "c": 0.7}
     for target in (0.65, 0.75, 0.88):
