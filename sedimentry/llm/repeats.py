@@ -108,6 +108,11 @@ class Plan:
     def spread(self) -> int:
         return self.length - self.gram + 1
 
+    @property
+    def least_bytes(self) -> int:
+        """No text of fewer bytes holds a window."""
+        return 2 * self.length - 1 if self.kind is Words else self.length
+
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w consecutive values, by prefix and suffix minima of blocks of w."""
@@ -144,11 +149,15 @@ def anchors(seq, plan: Plan):
 # --- groups of documents ---------------------------------------------------------------------------------------------
 
 
+def group_count(n_bytes: int, group_bytes: int) -> tuple[int, int]:
+    """Groups of documents and tasks for so many bytes: groups grow with the input from 8 GB on, to sixteen times their size."""
+    groups = max(8, -(-n_bytes // min(16 * group_bytes, max(group_bytes, n_bytes // 4096))))
+    return groups, max(2, -(-groups // 4))
+
+
 def grouped_table(docs: DataFrame, plan: Plan, key: str, text: str, n_bytes: int | None = None) -> tuple[DataFrame, int]:
     """doc_id, text, grp in a bucketed table of the shared folder; the number of groups grows with the input."""
-    size = n_bytes or storage.input_bytes(docs, text)
-    groups = max(8, -(-size // min(16 * plan.group_bytes, max(plan.group_bytes, size // 4096))))
-    tasks = max(2, -(-groups // 4))
+    groups, tasks = group_count(n_bytes or storage.input_bytes(docs, text), plan.group_bytes)
     rows = storage.text_column(docs, key, text)
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     return storage.bucketed(rows, "groups", tasks, "grp"), tasks
@@ -415,7 +424,7 @@ def union(ranges: np.ndarray, length: int) -> list[tuple[int, int]]:
 def apply_spans(groups: DataFrame, ranges: DataFrame, plan: Plan, make, schema: str) -> DataFrame:
     """make: (doc_id or None, sequence, spans to remove) -> tuple of schema's columns."""
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [{"long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
+    kinds = [_KINDS[x.split()[1]] for x in schema.split(", ")]
 
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
         loads = [np.frombuffer(x.as_buffer(), _RANGE) for x in back.column("payload")]
@@ -430,7 +439,22 @@ def apply_spans(groups: DataFrame, ranges: DataFrame, plan: Plan, make, schema:
 
 
 def remove_repeats(docs: DataFrame, plan: Plan, merge: Merge, make, schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    groups, tasks = grouped_table(docs, plan, key, text)
+    """Texts too short for a window, null ones among them, have nothing to share and are answered where they are read; so however
+    many rows are alike in that, they make no group."""
+    rows = storage.text_column(docs, key, text)
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < plan.least_bytes
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def answer(batches):
+        for batch in batches:
+            made = [make(k, plan.kind(x), []) for k, x in zip(batch.column(0).to_pylist(), storage.texts_of(batch, 1), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in made], _KINDS[x.split()[1]]) for c, x in enumerate(schema.split(", "))], names)
+
+    groups, tasks = grouped_table(rows.where(~short), plan, "doc_id", "text", storage.input_bytes(docs, text))
     repeated = repeated_anchors(groups, plan, tasks)
     runs = contexts(groups, repeated, plan, tasks * 4)
-    return apply_spans(groups, settle(runs, plan, tasks, merge), plan, make, schema)
+    found = apply_spans(groups, settle(runs, plan, tasks, merge), plan, make, schema)
+    return found.unionByName(storage.map_batches(rows.where(short), answer, schema))
+
+
+_KINDS = {"long": pa.int64(), "string": pa.string()}
