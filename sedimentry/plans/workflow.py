@@ -8,7 +8,7 @@ from ..operators import drift, feedback, guards, reconcile, review, telemetry
 from ..session import table
 from . import fixtures as fx
 from .insight import _CHAIN, _F, _log, _FIELDS
-from .matching import _EMB, _NOISY, _P, _embedding_scores, _vectors
+from .matching import _EMB, _NOISY, _P, _vectors
 
 # --- review loop -----------------------------------------------------------------------------------------------------
 
