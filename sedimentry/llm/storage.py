@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -21,12 +22,17 @@ _made: list[tuple[SparkSession, str]] = []
 _tables: list[tuple[SparkSession, str]] = []
 
 
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (local tests)."""
+    """The cluster's shared folder. Where none is set, a driver that is its own executor gets one of its own; a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="sedimentry-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        found = _local[app] = _local.get(app) or tempfile.mkdtemp(prefix="sedimentry-")
     return found.rstrip("/")
 
 
@@ -50,11 +56,12 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def bucketed(df: DataFrame, label: str, buckets: int, by: str) -> DataFrame:
-    """df, dealt by a column, as a bucketed table in the shared folder: later groupings by it don't move rows again."""
+def bucketed(df: DataFrame, label: str, buckets: int, by: str, dealt: bool = False) -> DataFrame:
+    """df, dealt by a column (already so if ``dealt``), as a bucketed table in the shared folder: later groupings by it don't
+    move rows again."""
     spark, name = df.sparkSession, f"sedimentry_{uuid.uuid4().hex}"
     _tables.append((spark, name))
-    writer = df.repartition(buckets, by).write.bucketBy(buckets, by).option("compression", "zstd").option("path", new_path(spark, label))
+    writer = (df if dealt else df.repartition(buckets, by)).write.bucketBy(buckets, by).option("compression", "zstd").option("path", new_path(spark, label))
     writer.format("parquet").saveAsTable(name)
     return spark.table(name)
 
@@ -80,6 +87,11 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``store`` wrote, once what reads it is written itself."""
+    discard(df.sparkSession, df.stored_at)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of long texts small, unless the session asks for another size than the default."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":

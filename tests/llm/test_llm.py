@@ -95,13 +95,22 @@ def test_mix_reaches_targets(spark):
     assert len(per) == 4 and all(abs(r.taken - r.target) <= 60 for r in per)
 
 
+def test_inclusion_odds(spark):
+    """Of a source taken in part, documents four times as long have twice the odds to be taken."""
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"), F.repeat(F.lit("w "), F.when(F.col("id") % 4 < 2, 10).otherwise(40)).alias("text"))
+    got = mixing.mix_report(rows).where("target < source_size").groupBy("size").agg(F.avg((F.col("taken") > 0).cast("double")).alias("p")).collect()
+    odds = {r["size"]: r.p / (1 - r.p) for r in got}
+    assert set(odds) == {10, 40} and 1.85 < odds[40] / odds[10] < 2.15, odds
+
+
 # --- 2 licences ------------------------------------------------------------------------------------------------------
 
 
 def brute_license(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
-    hits = [(i, label) for phrase, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+    phrases = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+    hits = [(i, label) for phrase, label in phrases for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
     at = [i for i, _ in hits]
     return len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))
 
@@ -129,6 +138,18 @@ def test_matching_statistics():
         assert max(n for _, n, _ in matches) == max(best)
 
 
+def test_base_phrases():
+    got = licenses.scan("Released under the MIT License; the mit license; UNDER the mit-license. Apache License, Version 2.0 cc by nc cc by nc")
+    assert (got["n_base"], got["first_word"], got["last_word"], got["base_labels"]) == (5, 1, 20, "apache-2,cc-by-nc,mit")
+    assert licenses.scan("the mit license")["n_base"] == 0 and licenses.scan("the mit license")["first_word"] is None
+
+
+def test_run_that_stands_twice_in_a_template():
+    auto = licenses.Automaton((("twice", "one two three four five six seven eight one two three four nine"),), ())
+    words = [w.encode() for w in "five six seven eight x one two three four".split()]
+    assert max(c[0] for c in licenses.chain(auto.stream(words, 4)[1], auto)) == 8 / 13
+
+
 def test_license_template():
     text = "note. " + licenses.TEMPLATES[0][1].upper() + " end"
     got = licenses.scan(text)
@@ -224,8 +245,21 @@ def test_quality(docs):
 def test_cascade_order():
     ticks = iter([0, 10, 10, 11, 11, 12])
     rules = [quality.Rule("dear", lambda f: True), quality.Rule("cheap", lambda f: True), quality.Rule("idle", lambda f: False)]
-    assert [r.name for r in quality.order_rules(["a"] * 4, rules, lambda: next(ticks))] == ["cheap", "idle", "dear"] or True
-    assert not quality.rejected(quality.Features("a"), [rules[2]])
+    assert [r.name for r in quality.order_rules(["a"] * 4, rules, lambda: next(ticks))] == ["cheap", "idle", "dear"]
+    asked = []
+    watched = [quality.Rule(n, lambda f, n=n, v=v: asked.append(n) or v) for n, v in (("pass", False), ("stop", True), ("never", True))]
+    assert quality.rejected(quality.Features("a"), watched) and asked == ["pass", "stop"]
+
+
+def test_cascade_leaves_dear_features_alone():
+    """Where the first rule rejects, no feature of a later one is computed."""
+    g = quality.Features("## " * 60)
+    assert quality.rejected(g, [next(r for r in quality.RULES if r.name == "symbol_ratio"), *quality.RULES]) and set(g._known) == {"n_symbols"}
+
+
+def test_sample_comes_from_all_over(spark):
+    rows = spark.createDataFrame([(k, f"text {k} of {'first' if k < 900 else 'second'}") for k in range(1000)], "doc_id long, text string").coalesce(1)
+    assert any("second" in t for t in quality.sample_texts(rows, "text", 100))
 
 
 # --- 5 similarity ----------------------------------------------------------------------------------------------------
@@ -258,12 +292,69 @@ def brute_components(docs):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("big", [64, 1])
-def test_components(docs, big, monkeypatch):
-    monkeypatch.setattr(jaccard, "BIG", big)
+@pytest.mark.parametrize(("few", "big", "local"), [(3, 64, 32), (1, 1, 1), (2, 10**6, 10**6)])
+def test_components(docs, few, big, local, monkeypatch):
+    for name, value in (("SMALL", few), ("BELOW", few), ("BIG", big), ("LOCAL", local)):
+        monkeypatch.setattr(jaccard, name, value)
     assert bag(jaccard.similarity_components(docs).collect(), "doc_id", "n_shingles", "component_id") == brute_components(texts_of(docs))
 
 
+def _edited(rng, text, edits):
+    out = text.split()
+    for _ in range(edits):
+        k = rng.randrange(len(out))
+        roll = rng.random()
+        out[k : k + (roll < 0.7)] = [] if roll < 0.1 else [_prose(rng, 1) + "x"]
+    return " ".join(out)
+
+
+def near_copies(n, seed):
+    """A large group of near copies, most of them mutually below 0.8; some are copies of copies, some share a passage only."""
+    rng = random.Random(seed)
+    base, passage = _prose(rng, 150), _prose(rng, 60)
+    texts = [base]
+    for k in range(n):
+        origin = base if rng.random() < 0.7 else rng.choice(texts)
+        texts.append(_edited(rng, origin, rng.randrange(1, 24)))
+        if k % 6 == 0:
+            texts.append(_prose(rng, rng.randrange(4, 90)) + " " + passage + " " + _prose(rng, 60))
+    return [(i * 7 % 100_003, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("few", "big", "local"), [(3, 64, 32), (1, 8, 2)])
+def test_near_copies(spark, few, big, local, monkeypatch):
+    for name, value in (("SMALL", few), ("BELOW", 8 * few), ("BIG", big), ("LOCAL", local)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = near_copies(500, 11)
+    got = jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute_components(rows)
+    assert bag(got, "doc_id", "n_shingles", "component_id") == want and len({x[2] for x in want}) > 150
+
+
+def test_edges_grow_with_members(spark, monkeypatch):
+    """A group of n near copies makes a bounded number of edges a member, far fewer than its pairs."""
+    made, count = [], jaccard._edges_of
+    monkeypatch.setattr(jaccard, "_edges_of", lambda *a: made.append((x := count(*a))[0].count()) or x)
+    rows = near_copies(800, 3)
+    jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert sum(made) < 80 * len(rows) < len(rows) ** 2 / 10
+
+
+def test_tokens_outside_the_pivot():
+    """Linked sets, one of them not linked with a smaller pivot, share a token of their prefixes outside it."""
+    rng, seen = np.random.default_rng(5), 0
+    while seen < 3000:
+        base = rng.integers(1, 1 << 63, int(rng.integers(5, 120)), dtype=np.uint64)
+        fresh = lambda most: rng.integers(1, 1 << 63, int(rng.integers(0, most + 1)), dtype=np.uint64)
+        more = fresh(len(base))
+        x, y, p = (np.unique(np.r_[rng.permutation(part)[int(rng.integers(0, len(part) // 4 + 1)) :], fresh(len(base) // 5)]) for part in (np.r_[base, more], np.r_[base, more], base))
+        if not len(p) or not jaccard.linked(x, y) or jaccard.linked(x, p) and jaccard.linked(y, p):
+            continue
+        seen += 1
+        one, two = (jaccard._outside(z, p, min(len(x), len(y))) for z in (x, y))
+        assert any(len(np.intersect1d(one[k], two[k])) for k in (0, 1))
+
+
 def test_no_link_is_lost():
     """Random near copies of all sizes: linked sets share a signature that not both would give up."""
     rng = np.random.default_rng(3)
@@ -284,7 +375,12 @@ def test_keep_first(docs):
     rows = jaccard.similarity_components(docs).collect()
     kept = jaccard.keep_first(docs)
     gone = {r.doc_id for r in rows if r.component_id is not None and r.component_id != r.doc_id}
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows} - gone
+    assert kept.columns == docs.columns
+    left = kept.collect()
+    assert {r.doc_id for r in left} == {r.doc_id for r in rows} - gone
+    worded = [r.doc_id for r in left if r.doc_id is not None and (r.text or "").encode().split()]
+    assert len(worded) == len(set(worded))
+    assert sum(not (r.text or "").encode().split() for r in left) == sum(not t.encode().split() for d, t in texts_of(docs) if d not in gone)
 
 
 def test_star_components(spark):
@@ -342,12 +438,45 @@ def test_personal_data(docs):
 def test_tagger_on_held_out_texts():
     rng, model = random.Random(1234), pii.train()
     made = [pii.labelled(rng, 300) for _ in range(150)]
-    hit = wrong = missed = 0
+    hit, wrong, all_ = collections.Counter(), collections.Counter(), collections.Counter()
     for (_, spans), got in zip(made, pii.model_spans([t for t, _ in made], model), strict=True):
-        hit += len(set(spans) & set(got))
-        wrong += len(set(got) - set(spans))
-        missed += len(set(spans) - set(got))
-    assert hit / (hit + wrong) > 0.85 and hit / (hit + missed) > 0.85
+        all_.update(s[2] for s in spans)
+        hit.update(s[2] for s in spans if s in got)
+        wrong.update(s[2] for s in got if s not in spans)
+    assert all(hit[k] >= 0.9 * all_[k] and wrong[k] <= 0.1 * all_[k] for k in pii.KINDS), (hit, wrong, all_)
+
+
+#: Written by hand, in forms that no base pattern finds; none is made by the training generator.
+HELD = {
+    "email": ["jane.doe (at) example (dot) com","bob_smith[at]mail[dot]example[dot]org","contact at openhouse dot net","Maria.Lopez AT university DOT edu","support {at} widgets {dot} io","r.feynman [at] caltech.edu","john (at) gmail.com","hr(at)company(dot)com","anna-lena at web.de","sales [AT] bigshop [DOT] com","peter.pan at neverland dot org","k.tanaka(at)tokyo-labs.com","press <at> museum <dot> org","info at city-hall dot example dot org","alice99 [at] proton [dot] net","w.shatner @ starfleet.org","office (AT) lawfirm (DOT) net","tom at farm dot io","billing[at]service.net","dr.who (at) tardis (dot) co"],
+    "ip": ["2001:db8:85a3:0:0:8a2e:370:7334","fe80::1ff:fe23:4567:890a","2001:db8::1","fd12:3456:789a:1::1","2607:f0d0:1002:51::4","2001:0db8:0000:0042:0000:8329:1234:5678","fe80::a00:27ff:fe4e:66a1","2a00:1450:4001:81b::200e","fd00:abcd::12","2001:4860:4860::8888","3ffe:1900:4545:3:200:f8ff:fe21:67cf","2620:0:2d0:200::7","fe80::5efe:c0a8:102","2001:db8:1234::42","fc00:1:2:3:4:5:6:7"],
+    "card": ["4111.1111.1111.1111","5500/0000/0000/0004","3782.822463.10005","3714/496353/98431","4012.8888.8888.1881","5105.1051.0510.5100","6011/1111/1111/1117","4222.2222.2222.2220","5555/5555/5555/4444","6011.0009.9013.9424"],
+    "phone": ["555-010-2233 ext 4","(212) 555-0187","415.555.0132","303-555-0199","020 7946 0958","0049 30 901820","(617)555-0143","555 867 5309","0161/496/0000","800-555-0100 x27","702.555.0165","(404) 555.0177","0033 142 685 300","919 555 0121","206-555-0154 ext. 12","030 1234 5678","(503) 555-0111 x9","512/555/0198","0044 20 7946 0123","646-555-0173"],
+}
+BEFORE = ("You can reach me under ", "For details write to ", "The server log shows ", "Please call our desk: ", "On file we have ")
+BEHIND = (" until Friday evening.", " for any questions", " as usual.\nThanks again", ", which is new.", "")
+
+
+def test_tagger_on_hand_written_forms(spark):
+    """Planted in documents, nine in ten of each kind are found: a span of the kind covers half of the value or more."""
+    rows, want = [], {}
+    for kind, values in HELD.items():
+        for k, value in enumerate(values):
+            before, doc = BEFORE[k % 5], len(rows)
+            rows.append((doc, before + value + BEHIND[k % 5]))
+            want[doc] = (kind, len(before), len(before) + len(value))
+            assert pii._TRIGGER.search(value) and not pii.base_spans(rows[-1][1]), value
+    clean = ["Meet at noon. Then go home at 5.30 on 2024-05-17, price $12.50, version v1.2.33, pages 100-220.", "Look at this. Dot the i, 48 % of 1200 people, No. 48213, 12:45."]
+    rows += [(1000 + k, t) for k, t in enumerate(clean)]
+    hit = collections.Counter()
+    for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans = [x.rsplit(":", 2) for x in r.spans.split(",") if x]
+        if r.doc_id >= 1000:
+            assert not spans, (r.doc_id, spans)
+            continue
+        kind, a, z = want[r.doc_id]
+        hit[kind] += any(k == kind and min(z, int(y)) - max(a, int(x)) >= (z - a) / 2 for k, x, y in spans)
+    assert all(hit[k] >= 0.9 * len(v) for k, v in HELD.items()), hit
 
 
 def test_gradients():
@@ -513,6 +642,34 @@ def test_verbatim_leaks(spark, limit, monkeypatch):
     assert {r.doc_id for r in decontam.clean(docs, benchmark).collect()} == set(near)
 
 
+def _questions(rng, n):
+    """Word problems from invented templates, each as a benchmark has it and asked again with other values."""
+    names = ["Maria", "Peter", "Aisha", "Tom", "Yuki", "Omar", "Lena", "Ravi", "Ines", "Kofi", "Olga", "Hugo"]
+    units, things = ["apples", "books", "marbles", "stamps", "shells", "coins"], ["baskets", "boxes", "drawers", "crates"]
+    places = ["old market by the river", "school near the railway bridge", "village library on the hill", "harbour behind the fish hall"]
+    shapes = [
+        "{a} went to the {place} and bought {x} {t} for {y} dollars each; how many dollars did {a} pay for all of them?",
+        "At the {place} {a} and {b} share {x} {t} so that {a} gets {y} more than {b}; how many does each of them get in the end?",
+        "A train leaves the {place} at {x} o'clock and runs {y} km in every hour; how far from there is it when {z} hours have gone by?",
+        "{a} puts {x} {t} into each of {y} {c} and gives {z} of them to {b} later that day; how many are left over for {a} to keep?",
+        "If {a} reads {x} pages of a long novel each day and {b} reads {y}, after how many days has {b} read {z} pages more than {a}?",
+    ]
+    for k in range(n):
+        shape, place, t, c = shapes[k % 5], rng.choice(places), rng.choice(units), rng.choice(things)
+        one, two = ({"a": p[0], "b": p[1], "x": v[0], "y": v[1], "z": v[2]} for p, v in ((rng.sample(names, 2), rng.sample(range(3, 97), 3)) for _ in range(2)))
+        yield shape.format(place=place, t=t, c=c, **one), shape.format(place=place, t=t, c=c, **two)
+
+
+def test_questions_asked_again():
+    """Of 250 generated questions nine in ten or more are found again with other names and numbers; texts without one give none."""
+    rng = random.Random(21)
+    made = list(_questions(rng, 250))
+    index, canon = decontam.Index([(k, item) for k, (item, _) in enumerate(made)]), decontam.Canon()
+    found = sum(any(m["item_id"] == k for m in index.matches(f"{_prose(rng, 40)}. {again} {_prose(rng, 30)}", canon)) for k, (_, again) in enumerate(made))
+    assert found >= 0.9 * len(made), found
+    assert not any(index.matches(_prose(rng, 120), canon) for _ in range(60))
+
+
 def test_planted_leaks(spark, small):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = [(r.item_id, " ".join(r.text.split())) for r in items.collect()]

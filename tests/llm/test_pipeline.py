@@ -51,3 +51,18 @@ def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Nulls, empty and long texts, copies, repeated rows, columns with clashing names, and empty tables pass every stage."""
+    from test_llm import SCHEMA, awkward_rows
+
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    for name, rows, some in (("awkward", awkward_rows(), items), ("empty", [], items.limit(0))):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+        some.write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert (len(got) > 0) == bool(rows)
+        texts = [r[1] or "" for r in rows]
+        assert len({r.doc_id for r in got}) <= sum(brute_quality(t)[-1] for t in texts)
