@@ -27,7 +27,7 @@ def encoded_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     def run(batches):
         for batch in batches:
             enc = tokens.encoder(path)
-            yield pa.RecordBatch.from_arrays([batch.column(0), storage.longs([len(x) // 4 + end_tokens for x in enc.encode(storage.texts_of(batch, 1))])], ["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), storage.longs([len(x) // 4 + end_tokens for x in enc.encode(batch.column(1))])], ["doc_id", "n_tokens"])
 
     return storage.map_batches(storage.text_column(docs, key, text), run, "doc_id long, n_tokens long")
 

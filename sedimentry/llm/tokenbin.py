@@ -156,7 +156,7 @@ def encode_ids(docs: DataFrame, path: str, key: str, text: str, end_id: int) ->
         end = np.array([end_id], enc.dtype).tobytes()
         counts = np.zeros(max(enc.size, end_id + 1), np.uint64)
         for batch in batches:
-            ids = [x + end for x in enc.encode(storage.texts_of(batch, 1))]
+            ids = [x + end for x in enc.encode(batch.column(1))]
             counts += np.bincount(np.frombuffer(b"".join(ids), enc.dtype), minlength=len(counts)).astype(np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), storage.longs([len(x) // enc.dtype.itemsize for x in ids]), storage.longs([zlib.crc32(x) for x in ids]), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], schema=_IDS_TYPE)
         some = np.flatnonzero(counts)

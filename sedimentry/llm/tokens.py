@@ -13,14 +13,17 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-#: White space, or characters that some definition calls so, other than a space or line feed; and the cut mark.
-_ODD = re.compile("[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff]")
-_RUN = re.compile(r"[ \n]{3}|[ \n]{2}\Z")
-_LOOSE_STOP = re.compile(f"(?:^|[^0-9{_LETTERS}])[.,]")
+#: White space, or characters that some definition calls so, other than a space or line feed; the cut mark; the special token; runs.
+_DOUBTFUL = "[\\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff]|<\\||[ \n]{3}|[ \n]{2}\\z"
+_LOOSE_STOP = f"(?:^|[^0-9{_LETTERS}])[.,]"
 _PLAIN = re.compile(f" ?[{_LETTERS}]+")
 CACHED = 700_000
+#: Bytes of texts that are cut at once.
+CHUNK = 4 << 20
 
 
 def default_path() -> str:
@@ -52,58 +55,62 @@ class PieceEncoder:
     def _encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, missing: dict[str, None]) -> None:
-        """Cache stretches: letters alone are one piece, which the model merges; the rest passes the whole library."""
+    def _ids_of(self, stretches: list[str]) -> list[bytes]:
+        """ids of distinct stretches, from the cache or learned: letters alone are one piece, which the model merges; the rest
+        passes the whole library."""
+        out = list(map(self.cache.get, stretches))
+        missing = [i for i, e in enumerate(out) if e is None]
         if len(self.cache) + len(missing) > self.cached:
-            self.older, self.cache = self.cache, {"": b""}
+            self.older, self.cache = self.cache, {}
         cache, older, names, width = self.cache, self.older, self.names, self.dtype.itemsize
         merge, plain, rest = self.library.model.tokenize, _PLAIN.fullmatch, []
-        for x in missing:
+        for i in missing:
+            x = stretches[i]
             known = older.get(x)
-            if known is not None:
-                cache[x] = known
-            elif plain(x):
-                cache[x] = b"".join([t.id.to_bytes(width, "little") for t in merge(x.encode().decode("latin-1").translate(names))])
-            else:
-                rest.append(x)
-        for x, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            cache[x] = np.array(e.ids, self.dtype).tobytes()
+            if known is None:
+                if not plain(x):
+                    rest.append(i)
+                    continue
+                known = b"".join([t.id.to_bytes(width, "little") for t in merge(x.encode().decode("latin-1").translate(names))])
+            out[i] = cache[x] = known
+        for i, e in zip(rest, self.library.encode_batch_fast([stretches[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = cache[stretches[i]] = np.array(e.ids, self.dtype).tobytes()
+        return out
 
     @staticmethod
-    def _cut(text: str) -> list[str] | None:
-        if _ODD.search(text) or "<|" in text:
-            return None
-        if ("  " in text or "\n\n" in text or " \n" in text or "\n " in text) and _RUN.search(text):
-            return None
-        if not _LOOSE_STOP.search(text):
-            text = text.replace(".", "\0.").replace(",", "\0,")
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        done = 0
-        while done < len(texts):
-            cut, missing, cache = [], {}, self.cache
-            for text in texts[done:]:
-                parts = self._cut(text)
-                cut.append(parts)
-                if parts is not None:
-                    for x in parts:
-                        if x not in cache:
-                            missing[x] = None
-                    if len(missing) > 50_000:
-                        break
-            before = self.cache
-            if missing:
-                self._learn(missing)
-            get = self.cache.__getitem__
-            if self.cache is not before:  # a new generation: stretches known before are found in the older one
-                for parts in cut:
-                    self._learn({x: None for x in parts or () if x not in self.cache})
-                get = self.cache.__getitem__
-            for text, parts in zip(texts[done:], cut, strict=False):
-                out.append(self._encode(text) if parts is None else b"".join(map(get, parts)))
-            done += len(cut)
+    def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The stretches of each text, none where a cut could be doubtful, and which texts those are."""
+        whole = pc.match_substring_regex(texts, _DOUBTFUL)
+        put = lambda x, mark, by: pc.replace_substring(x, mark, by)
+        stops = pc.if_else(pc.match_substring_regex(texts, _LOOSE_STOP), texts, put(put(texts, ".", "\0."), ",", "\0,"))
+        marked = put(put(stops, " ", "\0 "), "\n", "\0\n\0")
+        return pc.split_pattern(pc.if_else(whole, pa.scalar("", texts.type), marked), "\0"), whole.to_numpy(zero_copy_only=False)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """texts: no nulls but in a column, where they are empty texts."""
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(column).to_numpy())
+        out, a = [], 0
+        while a < len(column):
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, side="right")))
+            out += self._encode_some(column[a:z])
+            a = z
+        return out
+
+    def _encode_some(self, texts: pa.Array) -> list[bytes]:
+        """Stretches are cut and numbered by Arrow, so that Python sees each one once, and their ids laid end to end by numpy."""
+        cut, whole = self._cut(texts)
+        stretches = cut.flatten().dictionary_encode()
+        known = self._ids_of(stretches.dictionary.to_pylist())
+        own = stretches.indices.to_numpy()
+        lens = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        starts, n = np.r_[0, np.cumsum(lens)[:-1]], lens[own]
+        ends = np.r_[0, np.cumsum(n)]
+        ids = np.frombuffer(b"".join(known), self.dtype)[np.repeat(starts[own] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        at = (ends[cut.offsets.to_numpy()] * self.dtype.itemsize).tolist()
+        out = [ids[a:z] for a, z in zip(at, at[1:], strict=False)]
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = self._encode(texts[i].as_py())
         return out
 
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF, rows_of
 from pyspark.sql import functions as F
@@ -523,6 +524,17 @@ def test_token_files(docs):
     assert [r.start for r in got] == np.r_[0, np.cumsum([r.n_tokens for r in got])[:-1]].tolist()
 
 
+def test_encoder_takes_columns():
+    """A column with nulls and texts that are encoded whole; of the cached stretches only a few are kept."""
+    from tokenizers import Tokenizer
+
+    texts = ["one two, three.", None, "", "a   b\n\n", "tab\there <|x", ". ,five", "é 中 ü.", "one two"] * 3
+    library = Tokenizer.from_file(tokens.default_path())
+    want = [np.array(library.encode(x or "", add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
+    enc = tokens.PieceEncoder(tokens.default_path(), 2, cached=3)
+    assert enc.encode(pa.array(texts)) == want == enc.encode([x or "" for x in texts])
+
+
 def test_read_ids(spark, awkward):
     folder = storage.new_path(spark, "test")
     tokenbin.write_ids(awkward, folder)
