@@ -341,6 +341,24 @@ def test_edges_grow_with_members(spark, monkeypatch):
     assert sum(made) < 80 * len(rows) < len(rows) ** 2 / 10
 
 
+def test_texts_stay_where_they_are(spark, docs, monkeypatch):
+    """Where the session asks for more partitions than there are buckets, the table of texts is still read by bucket; once the
+    edges are known it holds no others than the documents that have one."""
+    rows = docs.count()
+    made, bucketed = [], storage.bucketed
+    monkeypatch.setattr(storage, "bucketed", lambda *a, **k: made.append((x := bucketed(*a, **k)).count()) or x)
+    plans, visit = [], jaccard._visit
+    monkeypatch.setattr(jaccard, "_visit", lambda *a: plans.append((x := visit(*a))._jdf.queryExecution().executedPlan().toString()) or x)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        assert bag(jaccard.similarity_components(docs).collect(), "doc_id", "n_shingles", "component_id") == brute_components(texts_of(docs))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert plans and all("Bucketed: true" in p and "Bucketed: false" not in p for p in plans)
+    assert len(made) == 2 and made[1] < made[0] <= rows
+
+
 def test_tokens_outside_the_pivot():
     """Linked sets, one of them not linked with a smaller pivot, share a token of their prefixes outside it."""
     rng, seen = np.random.default_rng(5), 0
